@@ -1,7 +1,8 @@
 """The registered queries: every operator over whole tables.
 
-Queries that need one scan start from the given tables. Those that read their input several times
-start from a frame that Spark has cleaned (and imputed) once and stored in the shared folder.
+The bookings table that the operators work on is derived from the given tables by Spark, and stored
+in the shared folder once per session, as are its cleaned and its imputed form: queries that read
+them prune columns and push filters into the scan, however often they read.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
 
 
 def raw(spark: SparkSession, folder: str) -> DataFrame:
-    return bookings(spark, folder)
+    return _once(spark, folder, "bookings", lambda: stored(bookings(spark, folder), "bookings"))
 
 
 def known(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +108,7 @@ def vectors(spark: SparkSession, folder: str):
 
 @query("scan_noshow")
 def _(spark, folder):
-    tables.register(raw(spark, folder))
+    tables.register(bookings(spark, folder))
     return tables.load(spark, f"SELECT {', '.join(BOOKING_COLUMNS)} FROM noshow WHERE no_show IS NOT NULL;")
 
 

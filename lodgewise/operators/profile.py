@@ -118,7 +118,7 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str], factor: float = 1.5) ->
         order_stats.melt(df, columns)
         .join(fences, "column")
         .groupBy("column", "lower", "upper")
-        .agg(F.count_if("value < lower or value > upper").alias("outliers"), F.count("*").alias("_n"))
+        .agg(F.count_if(F.expr("value < lower or value > upper")).alias("outliers"), F.count("*").alias("_n"))
         .where("outliers > 0")
         .select("column", "outliers", (F.col("outliers") / F.col("_n") * 100).alias("pct"), "lower", "upper")
     )

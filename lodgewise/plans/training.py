@@ -87,7 +87,7 @@ def top_importance(table: DataFrame, n: int | None = None) -> DataFrame:
 def cross_validate(name: str, params: dict, vectors: DataFrame, folds: int = CV_FOLDS) -> tuple[float, float]:
     """Mean and deviation of ROC-AUC over stratified folds."""
     fitted = _search(name, [params], vectors, folds)
-    return fitted.avgMetrics[0], fitted.stdMetrics[0]
+    return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
 
 
 def _search(name: str, points: list[dict], vectors: DataFrame, folds: int, parallelism: int = 2):
