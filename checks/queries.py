@@ -65,10 +65,7 @@ def engineered(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def imputed(spark: SparkSession, folder: str) -> DataFrame:
-    def build() -> DataFrame:
-        return stored(features.add_features(impute.impute(engineered(spark, folder))), "imputed")
-
-    return _once(spark, folder, "imputed", build)
+    return _once(spark, folder, "imputed", lambda: stored(impute.impute(engineered(spark, folder)), "imputed"))
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:

@@ -38,8 +38,9 @@ _DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def _position(words: list[str], c: Column) -> Column:
-    """1-based place of ``c`` in ``words``; NULL if it is not one of them."""
-    return F.nullif(F.array_position(F.array(*map(F.lit, words)), c), F.lit(0))
+    """1-based place of lower-case text in ``words``; NULL if it is not one of them."""
+    entries = [F.lit(x) for i, word in enumerate(words, start=1) for x in (word.lower(), i)]
+    return F.element_at(F.create_map(*entries), c)
 
 
 def to_number(c: Column) -> Column:
@@ -58,9 +59,8 @@ def number(df: DataFrame, name: str) -> Column:
 
 def month(c: Column) -> Column:
     """Month number from 1..12 or an English month name in any case."""
-    return F.coalesce(
-        to_number(c).try_cast("int"), _position(MONTH_NAMES, F.initcap(F.trim(c.cast("string")))).cast("int")
-    )
+    text = c.cast("string")
+    return F.coalesce(_position(MONTH_NAMES, F.lower(F.trim(text))), to_number(text).try_cast("int"))
 
 
 def month_name(c: Column) -> Column:
@@ -70,7 +70,7 @@ def month_name(c: Column) -> Column:
 
 def currency(c: Column) -> Column:
     found = F.regexp_extract(c.cast("string"), CURRENCY_PATTERN, 1)
-    return F.coalesce(F.nullif(found, F.lit("")), F.lit(DEFAULT_CURRENCY))
+    return F.when(found != "", found).otherwise(DEFAULT_CURRENCY)
 
 
 def amount(c: Column) -> Column:
@@ -97,7 +97,7 @@ def guests(c: Column) -> Column:
     """A head count from a number or a number word; unknown counts as 0."""
     text = c.cast("string")
     return F.coalesce(
-        _position(NUMBER_WORDS, F.lower(text)).cast("int"), to_number(text).try_cast("int"), F.lit(0)
+        _position(NUMBER_WORDS, F.lower(text)), to_number(text).try_cast("int"), F.lit(0)
     )
 
 
@@ -107,22 +107,40 @@ def sql_price(c: Column) -> Column:
     return bare.try_cast("double")
 
 
+def _numeric(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.NumericType)
+
+
 def clean_bookings(df: DataFrame, rate: float = USD_TO_SGD) -> DataFrame:
-    """Every cleaning rule at once, as one projection over the scan."""
+    """Every cleaning rule at once, as projections over the scan.
+
+    Columns that arrive as numbers are taken as they are. The currency is a column of its own before
+    it is used, so that the pattern runs once per row and the generated code stays small enough for
+    the JVM to compile.
+    """
     have = set(df.columns)
     out: dict[str, Column] = {}
     for name in ("booking_month", "arrival_month", "checkout_month"):
         if name in have:
-            out[name] = month(F.col(name))
-    if "price" in have:
-        code = currency(F.col("price"))
-        out["price"] = to_sgd(amount(F.col("price")), code, rate)
-        out["currency"] = F.when(F.upper(code) == "USD", DEFAULT_CURRENCY).otherwise(code)
+            out[name] = F.col(name).try_cast("int") if _numeric(df, name) else month(F.col(name))
     if "first_time" in have:
-        out["first_time"] = flag(F.col("first_time"))
+        c = F.col("first_time")
+        out["first_time"] = F.coalesce(c.try_cast("int"), F.lit(0)) if _numeric(df, "first_time") else flag(c)
     if "checkout_day" in have:
         out["checkout_day"] = F.abs(F.col("checkout_day"))
     for name in ("num_adults", "num_children"):
         if name in have:
-            out[name] = guests(F.col(name))
-    return df.withColumns(out)
+            c = F.col(name)
+            out[name] = F.coalesce(number(df, name).try_cast("int"), F.lit(0)) if _numeric(df, name) else guests(c)
+    if "price" not in have:
+        return df.withColumns(out)
+    if _numeric(df, "price"):
+        return df.withColumns({**out, "price": number(df, "price"), "currency": F.lit(DEFAULT_CURRENCY)})
+    priced = df.withColumns({**out, "currency": currency(F.col("price")), "price": amount(F.col("price"))})
+    code = F.col("currency")
+    return priced.withColumns(
+        {
+            "price": to_sgd(F.col("price"), code, rate),
+            "currency": F.when(F.upper(code) == "USD", DEFAULT_CURRENCY).otherwise(code),
+        }
+    )

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodgewise.functions.features import price_per_guest
 from lodgewise.operators import order_stats
 from lodgewise.session import stored
 from lodgewise.sources.tables import write_parquet
@@ -47,10 +48,16 @@ class ImputationTables:
         return filled.withColumn("room", F.coalesce("room", self.room_overall.scalar()))
 
     def fill_prices(self, df: DataFrame) -> DataFrame:
-        """Own price, else the median of (branch, room), else the overall median."""
+        """Own price, else the median of (branch, room), else the overall median.
+
+        What was derived from the price is derived again.
+        """
         names = df.columns
         filled = df.join(self.price_by_group.withColumnRenamed("median", "_median"), PRICE_KEYS, "left")
-        return filled.withColumn("price", F.coalesce("price", "_median", self.price_overall.scalar())).select(*names)
+        filled = filled.withColumn("price", F.coalesce("price", "_median", self.price_overall.scalar()))
+        if "price_per_guest" in names:
+            filled = filled.withColumn("price_per_guest", price_per_guest(F.col("price"), F.col("total_guests")))
+        return filled.select(*names)
 
     def fill(self, df: DataFrame) -> DataFrame:
         return self.fill_prices(self.fill_rooms(df))
@@ -103,7 +110,7 @@ def fit_prices(df: DataFrame, tables: ImputationTables) -> ImputationTables:
     everything = F.lit(0).alias("all")
     gaps = counts.where(F.col(order_stats.BUCKET).isNull()).select(*PRICE_KEYS, F.col("_w").alias("gaps"))
     filled = order_stats.weighted(gaps.join(by_group, PRICE_KEYS).withColumn("all", F.lit(0)), ["all"], "median", "gaps")
-    all_rows = rows.select(everything, "_v", "_w", order_stats.BUCKET).unionByName(filled)
+    all_rows = rows.select(everything, "_v", "_w").unionByName(filled)
     all_counts = counts.select(everything, order_stats.BUCKET, "_w").unionByName(order_stats.histogram(filled, ["all"]))
     all_counts = all_counts.groupBy("all", order_stats.BUCKET).agg(F.sum("_w").alias("_w"))
     place = stored(order_stats.locate(all_counts, ["all"], [0.5]), "places")
@@ -113,7 +120,7 @@ def fit_prices(df: DataFrame, tables: ImputationTables) -> ImputationTables:
 
 
 def fit(df: DataFrame) -> ImputationTables:
-    """Learn all fill values. Reads ``df`` several times: pass it persisted or stored."""
+    """Learn all fill values. Reads ``df`` a few times: pass it stored or persisted."""
     tables = fit_rooms(df)
     return fit_prices(tables.fill_rooms(df), tables)
 

@@ -1,11 +1,12 @@
 """Exact order statistics that never sort a table in one task.
 
-A double is placed on a signed logarithmic scale that is cut into 2**18 buckets per e-fold, so a
-bucket spans four millionths of its value. Buckets are monotone in the value: a running total over
-buckets plus one within a bucket is the running total over all values. Equal values are summed
-first, hence a hot value is one row and a hot key is spread over all its buckets. What one task
-orders is either the bucket counts of a key, a few million rows however many rows there are, or
-the distinct values inside one bucket.
+A double is placed on a signed logarithmic scale that is cut into 2**bits buckets per e-fold.
+Buckets are monotone in the value and nest: finer ones refine coarser ones. A running total over
+buckets plus one within a bucket is therefore the running total over all values, and a quantile is
+found by counting buckets first and ordering the values of one bucket afterwards.
+
+Equal values are summed before they move, so a hot value is one row, and a hot key is spread over
+all its buckets.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ from pyspark.sql import functions as F
 
 from lodgewise.session import stored
 
-_BUCKET_BITS = 18
 _LOWEST_LOG = 746  # below the logarithm of the smallest positive double
+_FINEST = 28  # at most 34 million doubles share such a bucket
+_TOTALS = 18  # four millionths of a value: a few million buckets per key, few values in each
+_QUANTILE_STEPS = (12, 20, 28)  # coarse counts compress well before the shuffle; finer ones if needed
+_LARGE_BUCKET = 5_000_000  # rows
 BUCKET = "_bucket"
 
 
-def bucket_of(v: Column) -> Column:
-    """Place of a double on the bucket scale; monotone in the value, 0 for zero, NULL for NULL."""
+def bucket_of(v: Column, bits: int) -> Column:
+    """Place of a double on the bucket scale; monotone in the value, NULL for NULL."""
     size = F.least(F.abs(v), F.lit(sys.float_info.max))
-    step = F.floor(F.ln(size) * float(1 << _BUCKET_BITS)) + F.lit(_LOWEST_LOG << _BUCKET_BITS)
-    return F.when(v > 0, step).when(v < 0, -step).when(v == 0, F.lit(0).cast("bigint"))
+    step = F.floor(F.ln(size) * float(1 << _FINEST)) + F.lit(_LOWEST_LOG << _FINEST)
+    finest = F.when(v > 0, step).when(v < 0, -step).when(v == 0, F.lit(0).cast("bigint"))
+    return F.shiftright(finest, _FINEST - bits)
 
 
 def _earlier(name: str, window) -> Column:
@@ -47,7 +52,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: Seque
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(*[F.sum(t).alias(t) for t in totals])
-        .withColumn(BUCKET, bucket_of(F.col(value)))
+        .withColumn(BUCKET, bucket_of(F.col(value), _TOTALS))
     )
     in_bucket = Window.partitionBy(*keys, BUCKET).orderBy(value)
     over_buckets = Window.partitionBy(*keys).orderBy(BUCKET)
@@ -85,23 +90,25 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: Seque
 
 
 def weighted(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """The shape the quantile steps work on: ``(keys, _v, _w, _bucket)``."""
+    """The shape the quantile steps work on: ``(keys, _v, _w)``, with ``_w`` copies of each row."""
     copies = F.col(weight) if weight else F.lit(1)
-    return df.select(*keys, F.col(value).cast("double").alias("_v"), copies.cast("bigint").alias("_w")).withColumn(
-        BUCKET, bucket_of(F.col("_v"))
-    )
+    return df.select(*keys, F.col(value).cast("double").alias("_v"), copies.cast("bigint").alias("_w"))
+
+
+def _bucketed(rows: DataFrame, bits: int) -> DataFrame:
+    return rows.withColumn(BUCKET, bucket_of(F.col("_v"), bits))
 
 
 def histogram(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows per key and bucket; NULL values are counted under a NULL bucket."""
-    return rows.groupBy(*keys, BUCKET).agg(F.sum("_w").alias("_w"))
+    """Rows per key and coarse bucket; NULL values are counted under a NULL bucket."""
+    return _bucketed(rows, _QUANTILE_STEPS[0]).groupBy(*keys, BUCKET).agg(F.sum("_w").alias("_w"))
 
 
 def locate(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Which buckets hold the wanted ranks, and at which place inside.
+    """Which coarse buckets hold the wanted ranks, and at which place inside.
 
-    A quantile lies between two neighbouring ranks; both are looked up. The result has at most two
-    rows per key and probability.
+    A quantile lies between two neighbouring ranks; both are looked up. The result has two rows per
+    key and probability.
     """
     keys = list(keys)
     ordered = Window.partitionBy(*keys).orderBy(BUCKET)
@@ -125,14 +132,43 @@ def locate(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> Da
                 )
             )
     inside = F.filter(F.array(*ends), lambda e: (e["_place"] >= 0) & (e["_place"] < F.col("_w")))
-    return placed.select(*keys, BUCKET, F.inline(inside))
+    return placed.select(*keys, BUCKET, F.col("_w").alias("_size"), F.inline(inside))
+
+
+def _inside(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
+    """The rows of the wanted buckets, once per place that looks for them."""
+    return _bucketed(rows, bits).join(wanted, [*keys, BUCKET]).drop(BUCKET, "_size")
+
+
+def _narrow(rows: DataFrame, wanted: DataFrame, keys: Sequence[str], bits: tuple[int, int]) -> DataFrame:
+    """The same places, each in the finer bucket that holds it."""
+    place = [*keys, "prob", "_part", "low", "_place"]
+    finer = _bucketed(_inside(rows, wanted, keys, bits[0]), bits[1])
+    counts = finer.groupBy(*place, BUCKET).agg(F.sum("_w").alias("_size"))
+    start = _earlier("_size", Window.partitionBy(*place).orderBy(BUCKET))
+    return (
+        counts.select("*", start.alias("_start"))
+        .where("_place >= _start and _place < _start + _size")
+        .withColumn("_place", F.col("_place") - F.col("_start"))
+        .select(*keys, BUCKET, "_size", "prob", "_part", "low", "_place")
+    )
 
 
 def pick(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The quantiles at the located places, with linear interpolation: ``(keys, prob, quantile)``."""
+    """The quantiles at the located places, with linear interpolation: ``(keys, prob, quantile)``.
+
+    ``wanted`` is stored, so its size is known. While a bucket holds very many rows, its places are
+    narrowed to finer buckets; only then are the values of a bucket put in order.
+    """
     keys = list(keys)
+    bits = _QUANTILE_STEPS[0]
+    for finer in _QUANTILE_STEPS[1:]:
+        largest = wanted.agg(F.max("_size")).first()[0]
+        if largest is None or largest <= _LARGE_BUCKET:
+            break
+        wanted, bits = stored(_narrow(rows, wanted, keys, (bits, finer)), "places"), finer
     place = [*keys, "prob", "_part", "low", "_place"]
-    values = rows.join(wanted, [*keys, BUCKET]).groupBy(*place, "_v").agg(F.sum("_w").alias("_w"))
+    values = _inside(rows, wanted, keys, bits).groupBy(*place, "_v").agg(F.sum("_w").alias("_w"))
     start = _earlier("_w", Window.partitionBy(*place).orderBy("_v"))
     hits = values.select("*", start.alias("_start")).where("_place >= _start and _place < _start + _w")
     low = F.max(F.when(F.col("low"), F.col("_v")))
@@ -146,8 +182,8 @@ def exact_quantiles(
     """Exact quantiles per key with linear interpolation: ``(keys, prob, quantile)``.
 
     Two passes. The first counts rows per bucket (partial sums, so only counts travel) and stores
-    the few places to look at; from its file size Spark knows that it can be broadcast. The second
-    keeps only the rows of those buckets, so the table itself is not shuffled.
+    the few places to look at; from its file size Spark knows whether it can be broadcast. The
+    second keeps only the rows of those buckets, so the table itself is not shuffled.
     """
     rows = weighted(df, keys, value, weight)
     wanted = stored(locate(histogram(rows, keys), keys, probs), "places")

@@ -19,6 +19,9 @@ def local_session(app: str = "lodgewise", cpus: int | str = "*", partitions: int
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("LODGEWISE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.showConsoleProgress", "false")
+        # inputs here are small: keep them split over the cores anyway
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.sql.files.openCostInBytes", "64k")
         .getOrCreate()
     )
 
