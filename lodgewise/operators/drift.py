@@ -197,32 +197,30 @@ def drift_summary(columns: DataFrame) -> DataFrame:
 
 
 def data_summary(frames: dict[str, DataFrame], numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """Per frame and column: rows, gaps, distinct values; for numbers also moments and quartiles."""
-    parts = []
-    for name, frame in frames.items():
-        columns = [*numeric, *categorical]
-        rows = melt(frame, columns, kind="string").groupBy("column").agg(
-            F.count("*").alias("rows"), F.count_if(F.col("value").isNull()).alias("missing")
-        )
-        distinct = distinct_counts(frame, columns).select("column", "distinct")
-        values = melt(frame, numeric)
-        moments = values.groupBy("column").agg(
-            F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
-        )
-        quartiles = (
-            exact_quantiles(values, ["column"], "value", [0.25, 0.5, 0.75])
-            .groupBy("column")
-            .pivot("prob", [0.25, 0.5, 0.75])
-            .agg(F.first("quantile"))
-            .toDF("column", "q25", "q50", "q75")
-        )
-        part = (
-            rows.join(F.broadcast(distinct), "column")
-            .join(F.broadcast(moments), "column", "left")
-            .join(F.broadcast(quartiles), "column", "left")
-        )
-        parts.append(part.select(F.lit(name).alias("frame"), "*"))
-    out = parts[0]
+    """Per frame and column: rows, gaps, distinct values; for numbers also moments and quartiles.
+
+    All frames go through each pass together. Joins are on one row per frame and column.
+    """
+    columns, key = [*numeric, *categorical], ["frame", "column"]
+    parts = [df.select(F.lit(name).alias("frame"), *columns) for name, df in frames.items()]
+    rows = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        rows = rows.unionByName(part)
+    per_value = melt(rows, columns, ["frame"], "string").groupBy(*key, "value").agg(F.count("*").alias("n"))
+    counts = per_value.groupBy(*key).agg(
+        F.sum("n").alias("rows"),
+        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
+        F.count("value").alias("distinct"),
+    )
+    values = melt(rows, numeric, ["frame"])
+    moments = values.groupBy(*key).agg(
+        F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
+    )
+    quartiles = (
+        exact_quantiles(values, key, "value", [0.25, 0.5, 0.75])
+        .groupBy(*key)
+        .pivot("prob", [0.25, 0.5, 0.75])
+        .agg(F.first("quantile"))
+        .toDF(*key, "q25", "q50", "q75")
+    )
+    return counts.join(F.broadcast(moments), key, "left").join(F.broadcast(quartiles), key, "left")

@@ -89,19 +89,22 @@ def fit_rooms(df: DataFrame) -> ImputationTables:
     after the narrower fills, which the counts allow as well.
     """
     counts = stored(df.groupBy(*ROOM_KEYS, "room").agg(F.count("*").alias("n")), "rooms")
-    by_group = most_common(counts, ROOM_KEYS, "room", "mode")
-    by_branch = most_common(counts.groupBy("branch", "room").agg(F.sum("n").alias("n")), ["branch"], "room", "mode")
+    by_group = stored(most_common(counts, ROOM_KEYS, "room", "mode"), "modes")
+    by_branch = stored(
+        most_common(counts.groupBy("branch", "room").agg(F.sum("n").alias("n")), ["branch"], "room", "mode"), "modes"
+    )
     filled = _rooms_from_groups(counts, by_group, by_branch).groupBy("room").agg(F.sum("n").alias("n"))
-    return ImputationTables(by_group, by_branch, most_common(filled, [], "room", "mode"))
+    return ImputationTables(by_group, by_branch, stored(most_common(filled, [], "room", "mode"), "modes"))
 
 
 def fit_prices(df: DataFrame, tables: ImputationTables) -> ImputationTables:
     """Price medians by (branch, room) and overall, on rows whose rooms are filled.
 
-    One histogram per group, missing prices included, serves both levels: the overall median counts
-    the group-filled rows too, so each group adds its median once with the number of its gaps.
+    The three columns that matter are stored, since both levels pass over them. One histogram per
+    group, missing prices included, serves both levels: the overall median counts the group-filled
+    rows too, so each group adds its median once with the number of its gaps.
     """
-    rows = order_stats.weighted(df, PRICE_KEYS, "price")
+    rows = stored(order_stats.weighted(df, PRICE_KEYS, "price"), "rows")
     counts = stored(order_stats.histogram(rows, PRICE_KEYS), "prices")
     wanted = stored(order_stats.locate(counts, PRICE_KEYS, [0.5]), "places")
     by_group = stored(
@@ -120,7 +123,7 @@ def fit_prices(df: DataFrame, tables: ImputationTables) -> ImputationTables:
 
 
 def fit(df: DataFrame) -> ImputationTables:
-    """Learn all fill values. Reads ``df`` a few times: pass it stored or persisted."""
+    """Learn all fill values in two passes over ``df``."""
     tables = fit_rooms(df)
     return fit_prices(tables.fill_rooms(df), tables)
 

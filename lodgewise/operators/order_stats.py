@@ -43,16 +43,18 @@ def _earlier(name: str, window) -> Column:
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: Sequence[str]) -> DataFrame:
     """Running sums over the distinct values of each key, in value order.
 
-    One row per key and distinct non-NULL value, with for each column ``t`` of ``totals``: its sum
+    One row per key and distinct value that is not NULL or NaN, with for each column ``t`` of ``totals``: its sum
     ``t`` at the value, ``t_before`` over smaller values and ``t_total`` over the key; and
     ``next_value``, the following distinct value.
     """
     keys = list(keys)
+    # the bucket never is NULL here; said outright, both uses of the points are one shuffle
+    bucket = F.coalesce(bucket_of(F.col(value), _TOTALS), F.lit(0))
     points = (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & ~F.isnan(value))
         .groupBy(*keys, value)
         .agg(*[F.sum(t).alias(t) for t in totals])
-        .withColumn(BUCKET, bucket_of(F.col(value), _TOTALS))
+        .withColumn(BUCKET, bucket)
     )
     in_bucket = Window.partitionBy(*keys, BUCKET).orderBy(value)
     over_buckets = Window.partitionBy(*keys).orderBy(BUCKET)
@@ -92,7 +94,8 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: Seque
 def weighted(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """The shape the quantile steps work on: ``(keys, _v, _w)``, with ``_w`` copies of each row."""
     copies = F.col(weight) if weight else F.lit(1)
-    return df.select(*keys, F.col(value).cast("double").alias("_v"), copies.cast("bigint").alias("_w"))
+    v = F.col(value).cast("double")
+    return df.select(*keys, F.when(~F.isnan(v), v).alias("_v"), copies.cast("bigint").alias("_w"))
 
 
 def _bucketed(rows: DataFrame, bits: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodgewise.operators import evaluate
-from lodgewise.operators.encode import FEATURES, Preprocessor, feature_names, preprocess_splits
+from lodgewise.operators.encode import FEATURES, Preprocessor, feature_names
 from lodgewise.operators.runs import RunLog
 from lodgewise.operators.split import kfold, named, stratified_split, with_weights
 from lodgewise.plans import models
@@ -165,19 +165,16 @@ def results_long(spark: SparkSession, done: list[Trained]) -> DataFrame:
 
 
 def prepared(raw: DataFrame) -> tuple[Preprocessor, DataFrame, DataFrame, DataFrame]:
-    """Split raw bookings, fit preprocessing on train, and store the three vector frames.
+    """Split raw bookings, fit preprocessing on train, and vectorise all three parts in one pass.
 
-    Fitting reads the vectors once per tree level or iteration; stored, they are computed once.
+    Fitting a model reads the vectors once per tree level or iteration, so they are stored, by split.
     """
-    whole = stored(stratified_split(canonical(raw)), "split")
-    fitted, *parts = preprocess_splits(*named(whole))
-    # keep the slot names: parquet does not carry column metadata through an explicit schema
-    return fitted, *[_kept(part) for part in parts]
-
-
-def _kept(vectors: DataFrame) -> DataFrame:
-    metadata = vectors.schema[FEATURES].metadata
-    return stored(vectors, "vectors").withMetadata(FEATURES, metadata)
+    whole = stored(stratified_split(canonical(raw)), "split", by="split")
+    fitted = Preprocessor.fit(whole.where("split = 'train'").drop("split"))
+    vectors = fitted.transform(whole, [ROLES.key, ROLES.target, "split"])
+    slots = vectors.schema[FEATURES].metadata
+    kept = stored(vectors, "vectors", by="split")
+    return fitted, *[part.withMetadata(FEATURES, slots) for part in named(kept)]
 
 
 def assess(

@@ -26,30 +26,36 @@ def local_session(app: str = "lodgewise", cpus: int | str = "*", partitions: int
     )
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of its own.
+    Only a local master may fall back to a temporary folder of its own, one per application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="lodgewise-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="lodgewise-")
+    return _own_folders[context.applicationId]
 
 
-def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+def stored(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
     """Write ``df`` once under the shared folder and read it back.
 
     The read has no lineage to the jobs that made it, so later passes survive lost executors,
     prune columns at the scan, and broadcast the table only if its files are small enough for
     ``spark.sql.autoBroadcastJoinThreshold``. Beyond that Spark sorts and merges, and adaptive
-    execution splits hot keys.
+    execution splits hot keys. With ``by``, each value of that column has a folder of its own, and
+    filters on it skip the others.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
