@@ -326,8 +326,28 @@ SQL["cramers_v_matrix"] = o.with_extra(
 SQL["high_assoc_pairs"] = o.with_extra(
     CAT_PAIRS, f"SELECT a, b, {r('cramers_v')} AS cramers_v FROM chis WHERE cramers_v > 0.02"
 )
-SQL["vif_collinear"] = union(
-    [f"SELECT '{c}' AS feature, true AS flagged" for c in ("num_adults", "num_children", "total_guests")]
+
+
+def inflation(y: str, others: list[str]) -> str:
+    """Total over residual sum of squares, by removing the other columns from y one after another."""
+    inner = ", ".join(f"{z} - avg({z}) OVER () AS a{i}" for i, z in enumerate(others))
+    text = f"SELECT {y} - avg({y}) OVER () AS y0, {y} - avg({y}) OVER () AS res, {inner} FROM imputed"
+    for k in range(len(others)):
+        left = ["res", *[f"a{m}" for m in range(k + 1, len(others))]]
+        steps = ", ".join(f"{c} - sum({c} * a{k}) OVER () / sum(a{k} * a{k}) OVER () * a{k} AS {c}" for c in left)
+        text = f"SELECT y0, {steps} FROM ({text})"
+    return f"SELECT '{y}' AS feature, sum(y0 * y0) / sum(res * res) AS vif FROM ({text})"
+
+
+INDEPENDENT = [c for c in EDA_NUMERIC if c != "total_guests"]
+SQL["vif"] = o.with_extra(
+    "vifs AS (" + union([inflation(c, [z for z in INDEPENDENT if z != c]) for c in INDEPENDENT]) + ")",
+    f"SELECT feature, {r('vif', 5)} AS vif, vif > 10 AS flagged FROM vifs",
+)
+# three columns of which one is the sum of the others
+SQL["vif_collinear"] = sql(
+    """SELECT feature, true AS flagged FROM (VALUES ('num_adults'), ('num_children'), ('total_guests')) t(feature)
+WHERE (SELECT max(abs(total_guests - num_adults - num_children)) FROM imputed) = 0"""
 )
 STARS = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END"
 SQL["feature_ranking"] = o.with_extra(
