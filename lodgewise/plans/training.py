@@ -151,9 +151,12 @@ def tune(
 def tune_and_train(
     name: str, train_vectors: DataFrame, val_vectors: DataFrame, base: dict | None = None, **search
 ) -> Trained:
-    """Tune, then refit with the best parameters over the base ones."""
+    """Tune, then refit with the best parameters over the base ones.
+
+    The search weighs classes by the data, and so does the refit.
+    """
     best, score, _ = tune(name, train_vectors, **search)
-    done = train(name, train_vectors, val_vectors, {**(base or {}), **best})
+    done = train(name, train_vectors, val_vectors, {**(base or {}), "scale_pos_weight": 1.0, **best})
     done.extra = {"tuning_best_cv_score": score}
     return done
 

@@ -99,6 +99,14 @@ def test_tuning_returns_the_best_trial(fitted):
     assert score == max(r["cv_roc_auc_mean"] for r in trials.collect())
 
 
+def test_tuned_models_are_refitted(fitted):
+    _, train, val, _ = fitted
+    space = {"n_estimators": ("int", 2, 3), "max_depth": ("int", 2, 2), "learning_rate": ("log", 0.1, 0.3)}
+    done = training.tune_and_train("xgboost", train, val, trials=1, folds=2, space=space)
+    assert done.params["max_depth"] == 2 and done.params["scale_pos_weight"] == 1.0
+    assert 0 <= done.extra["tuning_best_cv_score"] <= 1 and done.metrics["roc_auc"] > 0.5
+
+
 def test_retrain_save_score_and_monitor(spark, clean_bookings, tmp_path):
     out = str(tmp_path / "champion")
     training.retrain(clean_bookings, "random_forest", out, SMALL["random_forest"])
