@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodgewise.llm import url_filter
+from lodgewise.llm import mixing, packing, url_filter
 from lodgewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +72,44 @@ URL_RULES = [
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select("page_id", "url")
     return url_filter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
+@query("op6_token_packing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query(
+    "op9_source_mixing",
+    r"""
+    WITH sized AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    sources AS (
+      SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn
+      FROM sized GROUP BY source),
+    dealt AS (
+      SELECT source, source_size, CASE turn WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight FROM sources),
+    levels AS (
+      SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER need, 0))
+        / (sum(weight) OVER () - coalesce(sum(weight) OVER need, 0)) AS level
+      FROM dealt
+      WINDOW need AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    aims AS (
+      SELECT source, source_size, least(2.0 * source_size, (max(level) OVER ()) * weight)::DOUBLE AS target FROM levels),
+    laid AS (
+      SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS laid FROM sized),
+    parts AS (
+      SELECT doc_id, size, source_size, target, laid, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS rounds
+      FROM laid JOIN aims ON laid.source IS NOT DISTINCT FROM aims.source)
+    SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
+      (rounds * size + greatest(0, least(size, floor(target - rounds * source_size) - laid)))::BIGINT AS taken
+    FROM parts
+    """,
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    # the order among rows of one id and size doesn't matter to these columns, so texts needn't be carried
+    sized = mixing.allot(docs)
+    return sized.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
