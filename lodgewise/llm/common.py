@@ -58,15 +58,17 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a slice of texts. ``start`` and ``end`` are byte places in ``data``.
 
+    Words are runs of bytes for which ``inside`` holds; by default, all but ASCII white space.
+
     ``first[i]:first[i + 1]`` are the words of text ``i``; ``text`` is each word's text.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, inside: np.ndarray = ~_SPACE):
         raw, first_byte, ends = _bytes(texts)
         self.data = _LOWER[raw] if lower else raw
-        self.offsets = np.concatenate([[0], ends]) - first_byte
+        self.offsets = np.concatenate([[0], ends - first_byte])
         n = len(self.data)
-        inside = ~_SPACE[self.data]
+        inside = inside[self.data]
         edge = np.zeros(n + 1, bool)
         edge[self.offsets] = True
         before = np.concatenate([[False], inside])

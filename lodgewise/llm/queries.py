@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgewise.llm import mixing, packing, url_filter
+from lodgewise.llm import mixing, packing, toxicity, url_filter
 from lodgewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,3 +113,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     # the order among rows of one id and size doesn't matter to these columns, so texts needn't be carried
     sized = mixing.allot(docs)
     return sized.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted)
