@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgewise.llm import mixing, packing, toxicity, url_filter
+from lodgewise.llm import imatch, mixing, packing, toxicity, url_filter
 from lodgewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, folder, "labels"))
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted)
+
+
+@query("op8_imatch")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.compare(table(spark, folder, "documents").select("doc_id", "text"))
