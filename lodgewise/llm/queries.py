@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgewise.llm import imatch, mixing, packing, toxicity, url_filter
+from lodgewise.llm import imatch, mixing, packing, pii, toxicity, url_filter
 from lodgewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_imatch")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return imatch.compare(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op4_pii")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.detect(table(spark, folder, "documents").select("doc_id", "text"))
