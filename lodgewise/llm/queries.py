@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgewise.llm import imatch, mixing, packing, pii, toxicity, url_filter
+from lodgewise.llm import imatch, line_dedup, mixing, packing, pii, toxicity, url_filter
 from lodgewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,29 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_pii")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return pii.detect(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op1_line_dedup",
+    """
+    WITH lines AS (
+      SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr
+      FROM documents WHERE text <> ''),
+    pairs AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY nr) AS below FROM lines),
+    copies AS (
+      SELECT doc_id, nr FROM (
+        SELECT doc_id, nr, row_number() OVER (PARTITION BY line, below ORDER BY doc_id, nr) AS place FROM pairs WHERE below IS NOT NULL)
+      WHERE place > 1),
+    gone AS (SELECT DISTINCT doc_id, nr + k AS nr FROM copies, range(2) AS ks(k)),
+    kept AS (
+      SELECT l.doc_id, count(*) AS n_lines, count(g.nr) AS n_removed,
+        coalesce(string_agg(l.line, chr(10) ORDER BY l.nr) FILTER (WHERE g.nr IS NULL), '') AS text
+      FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.nr = g.nr GROUP BY l.doc_id)
+    SELECT d.doc_id, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed,
+      sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+    """,
+)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
