@@ -2,8 +2,8 @@
 
 Terms are hashed to slots, and a slot's document frequency is counted over all documents. The lexicon is the set of
 slots whose share of the documents lies in a band, so it is a bit set of fixed size whatever the corpus holds. The
-rest is a projection: the distinct terms of a text that are in the lexicon are sorted, and each of several random
-subsets of the lexicon gives one hash of what it keeps. DataFrame functions only.
+rest needs one shuffle, which brings each document to its neighbour: of the distinct terms of a text that are in the
+lexicon, each of several random subsets of the lexicon gives one hash of what it keeps. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ SLOTS = 1 << 20
 LEAST, MOST = 0.0005, 0.05
 #: Random draws, and for each the shares 2**-s of the lexicon that its nested subsets keep.
 DRAWS, SCALES = 16, (1, 3, 5, 7, 9)
-_NONE = 42  # what xxhash64 makes of an empty array
 _BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -41,31 +40,32 @@ def lexicon(docs: DataFrame, least: float = LEAST, most: float = MOST) -> Column
     return F.split(F.lit(listed), ",").cast("array<bigint>")
 
 
-def terms(text: Column, band: Column) -> Column:
-    """The sorted distinct slots of the text that are in the lexicon."""
+def terms(df: DataFrame, text: str, band: Column) -> DataFrame:
+    """Adds ``_terms``: the distinct slots of the text that are in the lexicon, or all of them if none is."""
 
     def known(slot: Column) -> Column:
         word = F.get(band, F.shiftright(slot, 6).cast("int"))
         return F.getbit(word, F.pmod(slot, F.lit(64)).cast("int")) == 1
 
-    return F.array_sort(F.filter(slots(text), known))
+    df = df.withColumn("_every", slots(F.col(text))).withColumn("_terms", F.filter("_every", known))
+    return df.withColumn("_terms", F.when(F.size("_terms") > 0, F.col("_terms")).otherwise(F.col("_every"))).drop("_every")
 
 
-def subset_hashes(kept: Column) -> Column:
-    """One hash for each draw and scale over the sorted terms, null where the subset keeps none."""
+def subset_hashes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One array of hashes per distinct ``keys``: one for each draw and scale, null where the subset keeps no term.
 
-    def subset(number: int, scale: int) -> Column:
-        drawn = F.filter(kept, lambda t: F.xxhash64(t, F.lit(number)).bitwiseAND(F.lit((1 << scale) - 1)) == 0)
-        return F.nullif(F.xxhash64(drawn), F.lit(_NONE))
-
-    return F.array(*[subset(number, scale) for number in range(DRAWS) for scale in SCALES])
-
-
-def with_hashes(df: DataFrame, text: str, name: str, band: Column) -> DataFrame:
-    """Adds the subset hashes of a text column; a text without any term of the lexicon has those of all its terms."""
-    df = df.withColumn("_kept", terms(F.col(text), band))
-    every = F.when(F.size("_kept") == 0, F.array_sort(slots(F.col(text)))).otherwise(F.col("_kept"))
-    return df.withColumn("_kept", every).withColumn(name, subset_hashes(F.col("_kept"))).drop("_kept")
+    The exclusive or of the terms' hashes is a hash of the sorted distinct terms that needs no list of them: each row
+    of ``_terms`` is summed up as it is read. Where ``df`` is dealt by one of the keys nothing is shuffled.
+    """
+    each = df.select(*keys, F.explode_outer("_terms").alias("_slot"))
+    sums = []
+    for number in range(DRAWS):
+        drawn = F.xxhash64("_slot", F.lit(number))
+        for scale in SCALES:
+            kept = F.col("_slot").isNotNull() & (drawn.bitwiseAND(F.lit((1 << scale) - 1)) == 0)
+            sums.append(F.bit_xor(F.when(kept, drawn)).alias(f"_h{len(sums)}"))
+    hashed = each.groupBy(*keys).agg(*sums)
+    return hashed.select(*keys, F.array(*[f"_h{i}" for i in range(len(sums))]).alias("hashes"))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -92,12 +92,12 @@ def shown(hashes: str) -> Column:
     return F.array_join(F.transform(hashes, digits), "")
 
 
-def with_next(docs: DataFrame, rows: int = 20_000, most: int = 2_048) -> DataFrame:
-    """Adds ``next_text``: the text of the next document in descending ``doc_id``, of the first after the last.
+def ranged(docs: DataFrame, rows: int = 2_500, most: int = 4_096) -> DataFrame:
+    """Deals ``doc_id``, ``text`` into ranges of descending ids, each followed by the first row of the next range.
 
-    Null ids come last, rows of one id by the hash of their text. Documents are dealt into ranges of ids, about
-    ``rows`` each but ``most`` ranges at most, which only sets how many tasks there are; within a range the next row
-    is read, and the last row of each takes the first of the next range.
+    ``_range`` numbers the ranges, about ``rows`` rows each but ``most`` ranges at most, which only sets how many
+    tasks there are; null ids are a range of their own at the end. The rows that follow (one per range) have
+    ``_follows`` 1; the last range is followed by the first row of all.
     """
     n = max(1, min(most, docs.count() // rows))
     cuts: list[int] = []
@@ -105,39 +105,44 @@ def with_next(docs: DataFrame, rows: int = 20_000, most: int = 2_048) -> DataFra
         shares = [i / n for i in range(1, n)]
         cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 10 * n).alias("cuts")).first()["cuts"] or []))
     above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c >= F.col("doc_id"))) if cuts else F.lit(0)
-    dealt = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(above).cast("int"))
-    order = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    dealt = dealt.withColumn("_lead", F.lead("text").over(order)).withColumn("_row", F.row_number().over(order))
-    # one row per range
-    firsts = dealt.filter("_row = 1").select(F.col("_range").alias("_r"), F.col("text").alias("_first"))
-    by_range = Window.orderBy("_r")
+    number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(above).cast("int")
+    dealt = docs.select(number.alias("_range"), "doc_id", F.xxhash64("text").alias("_hash"), "text", F.lit(0).alias("_follows"))
+    order = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), "_hash")
+    firsts = dealt.withColumn("_row", F.row_number().over(order)).filter("_row = 1")
+    by_range = Window.orderBy("_range")  # one row per range from here on
     whole = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follows = F.coalesce(F.lead("_first").over(by_range), F.first("_first").over(whole))
-    heads = firsts.withColumn("_follows", follows).drop("_first")
-    joined = dealt.join(heads, F.col("_range") == F.col("_r"))
-    return joined.withColumn("next_text", F.coalesce("_lead", "_follows")).drop("_range", "_r", "_lead", "_follows", "_row")
+    before = F.coalesce(F.lag("_range").over(by_range), F.last("_range").over(whole))
+    return dealt.unionByName(firsts.select(before.alias("_range"), "doc_id", "_hash", "text", F.lit(1).alias("_follows")))
 
 
 def compare(docs: DataFrame, least: float = LEAST, most: float = MOST) -> DataFrame:
-    """Fingerprints of each text, of its edited form and of the next document's text, and how alike they are.
+    """Fingerprints of each text and of its edited form, and how alike they and the next document's are.
 
     The edited text is the text with its last half (rounded down, in code points) replaced by as many code points
-    from the beginning of the next one. Null texts are empty; empty texts have an all-dash fingerprint and are
-    alike only to texts without terms; a single document follows itself; an empty table gives no rows; of other
+    from the beginning of the next one, by descending ``doc_id``, null ids last, rows of one id by the hash of their
+    text; after the last comes the first, so a single document follows itself. Null texts are empty; empty texts
+    have an all-dash fingerprint and are alike only to texts without terms; an empty table gives no rows; of other
     columns none is read. Equal texts have equal fingerprints.
     """
     docs = docs.select("doc_id", text_or_empty().alias("text"))
     band = lexicon(docs, least, most)
     size = F.char_length("text")
     half = F.floor(size / 2).cast("int")
-    rows = with_next(docs).withColumn("n_chars", size.cast("long"))
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), size - half), F.substring("next_text", F.lit(1), half)))
-    for text, name in (("text", "hashes"), ("edited", "edited_hashes"), ("next_text", "next_hashes")):
-        rows = with_hashes(rows, text, name, band)
-    return rows.select(
+    order = Window.partitionBy("_range").orderBy("_follows", F.col("doc_id").desc_nulls_last(), "_hash")
+    following = {"_next": F.coalesce(F.lead("text").over(order), F.lit("")), "_row": F.row_number().over(order)}
+    rows = ranged(docs).withColumns(following).withColumn("n_chars", size.cast("long"))
+    rows = rows.withColumn("_edited", F.concat(F.substring("text", F.lit(1), size - half), F.substring("_next", F.lit(1), half)))
+    rows = rows.withColumn("edited_sha256", F.sha2("_edited", 256))
+    row = ["_range", "_row", "_follows", "doc_id", "n_chars", "edited_sha256"]
+    forms = rows.select(*row, F.posexplode(F.array("text", "_edited")).alias("_form", "_text"))
+    hashed = subset_hashes(terms(forms, "_text", band), [*row, "_form"])
+    # the forms of a row, then the next row, within the range: nothing is shuffled again
+    along = Window.partitionBy("_range").orderBy("_row", "_form")
+    hashed = hashed.withColumn("edited_hashes", F.lead("hashes", 1).over(along)).withColumn("next_hashes", F.lead("hashes", 2).over(along))
+    return hashed.filter("_form = 0 and _follows = 0").select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         shown("hashes").alias("fingerprint"),
         shown("edited_hashes").alias("edited_fingerprint"),
         likeness("hashes", "edited_hashes").alias("near_edited"),
