@@ -76,7 +76,6 @@ class Items:
         self.words = [hashes[words.first[i] : words.first[i + 1]] for i in range(len(texts))]
         size = np.array([len(w) for w in self.words], np.int64)
         self.edits = np.where(size < LEAST_EDITED, 0, np.floor((1 - similarity) * size + 1e-9)).astype(np.int64)
-        self.exact = {int(n): [i for i in np.flatnonzero(size == n)] for n in set(size.tolist()) if LEAST_WORDS <= n < LEAST_EDITED}
         self.walked = np.flatnonzero(size >= LEAST_EDITED)
         every = _tables(seed)
         own = [[keys(self.words[i], t) for t in every] for i in self.walked]
@@ -87,9 +86,13 @@ class Items:
             item = np.concatenate([np.full(k[t][1].sum(), i) for i, k in zip(self.walked, own)] + [np.empty(0, np.int64)])
             offset = np.concatenate([np.flatnonzero(k[t][1]) for k in own] + [np.empty(0, np.int64)])
             self.index.append(_Index(key, item.astype(np.int64), offset.astype(np.int64)))
-        self.short = {
+        whole: dict[int, list[int]] = {}
+        for i in np.flatnonzero(size >= LEAST_WORDS).tolist():
+            if size[i] < LEAST_EDITED or not self._sure(i):
+                whole.setdefault(int(size[i]), []).append(i)
+        self.whole = {
             n: _Index(np.concatenate([gram_hashes(self.words[i], n) for i in found]), np.array(found), np.zeros(len(found), np.int64))
-            for n, found in self.exact.items()
+            for n, found in whole.items()
         }
 
     def _needed(self, own: list, every: list[Table], recall: float, seed: int) -> int:
@@ -112,9 +115,18 @@ class Items:
                     hit = t
                     break
             first_hit.append(hit)
-        found = np.sort(first_hit)
-        place = min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)
-        return min(MOST_TABLES, int(found[place]) + 1)
+        place = min(len(first_hit), int(np.ceil(recall * len(first_hit)))) - 1
+        return min(MOST_TABLES, int(np.sort(first_hit)[place]) + 1)
+
+    def _sure(self, item: int) -> bool:
+        """Whether some walk of some table stays inside the item, so that no copy of it can be missed."""
+        text = self.words[item]
+        longer = np.append(text, np.full(STEPS, mix(text[-1:])[0]))
+        for table in self.tables:
+            (a, fine), (b, _) = keys(text, table), keys(longer, table)
+            if (fine & (a == b[: len(a)])).any():
+                return True
+        return False
 
 
 class _Index:
@@ -154,7 +166,7 @@ def leaks(words: Words, items: Items) -> list[tuple[int, int, int, int]]:
     if not len(hashes):
         return []
     found: dict[tuple[int, int], tuple[int, int]] = {}
-    for n, index in items.short.items():
+    for n, index in items.whole.items():
         place, item, _ = index.hits(gram_hashes(hashes, n))
         inside = place + n <= words.first[words.text[place] + 1] if len(place) else np.zeros(0, bool)
         for p, i in zip(place[inside].tolist(), item[inside].tolist()):
