@@ -122,8 +122,8 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, int, np.ndarray]:
     return data[places[0] : places[-1]], int(places[0]), places[1:]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that the texts of each hold at most ``most`` bytes, or are one text."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each has at most ``rows`` texts of at most ``most`` bytes, or one longer text."""
     where = None
     for batch in batches:
         where = batch.schema.get_field_index(column) if where is None else where
@@ -131,7 +131,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         low = 0
         while low < len(ends):
             base = int(ends[low - 1]) if low else begin
-            high = max(low + 1, int(np.searchsorted(ends, base + most, side="right")))
+            high = min(low + rows, max(low + 1, int(np.searchsorted(ends, base + most, side="right"))))
             yield batch.slice(low, high - low)
             low = high
 
