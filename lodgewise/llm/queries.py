@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgewise.llm import decontaminate, imatch, jaccard_join, line_dedup, mixing, packing, pii, toxicity, url_filter
+from lodgewise.llm import decontaminate, imatch, jaccard_join, line_dedup, mixing, packing, pii, substring_dedup, toxicity, url_filter
 from lodgewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,3 +186,24 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return jaccard_join.join(docs).select("doc_id", "n_shingles", "component_id")
+
+
+@query(
+    "op10_substring_dedup",
+    r"""
+    WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words WHERE len(w) >= 20),
+    windows AS (
+      SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) > 1 AS copy FROM starts),
+    gone AS (SELECT DISTINCT doc_id, i + k AS i FROM windows, range(20) AS ks(k) WHERE copy),
+    each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+    kept AS (
+      SELECT e.doc_id, count(g.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY e.i) FILTER (WHERE g.i IS NULL), '') AS text
+      FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+    SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM words w LEFT JOIN kept ON w.doc_id = kept.doc_id
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
