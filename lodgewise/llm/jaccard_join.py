@@ -16,10 +16,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodgewise.llm.common import Words, as_long, mix, slices
+from lodgewise.llm.common import WORD, Words, as_long, mix, slices, text_or_empty
 from lodgewise.llm.components import components
 from lodgewise.session import stored
 
@@ -243,16 +244,8 @@ def linked(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, n: int, thresho
     return both.mapInArrow(verify, "u bigint, v bigint")
 
 
-def join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``node`` for each row of ``docs``.
-
-    Sets are the distinct n-word shingles of the whole text, A-Z in lower case; with fewer words, the whole sequence
-    is one. Rows are linked where intersection over union reaches the threshold; ``component_id`` is the least
-    ``doc_id`` of all that are reachable by links, a row's own included (null ids don't count, but pass links on).
-    ``node`` numbers equal sets. Rows without words have no node, are linked with nothing, and are their own
-    component. Repeated rows are linked like other equal texts; of other columns none is read; an empty table gives
-    no rows.
-    """
+def rooted(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``node`` and ``root`` for each row; rows of one component have one root, empty sets none."""
     sets = stored(sketched(docs, n), "sets")
     told = sets.filter(F.col("node").isNotNull())
     node = stored(told.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", *_SKETCH)]), "nodes")
@@ -280,8 +273,45 @@ def join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85, 100)) -
     more = stored(across.join(done, ["u", "v"], "left_anti"), "pairs")
     links = links.unionByName(linked(docs, more, firsts, n, threshold))
     roots = components(links)
-    placed = sets.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = stored(placed, "placed")
+    placed = sets.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
+    return stored(placed.withColumn("root", F.coalesce("root", "node")), "placed")
+
+
+def join(docs: DataFrame, n: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``node`` for each row of ``docs``.
+
+    Sets are the distinct n-word shingles of the whole text, A-Z in lower case; with fewer words, the whole sequence
+    is one. Rows are linked where intersection over union reaches the threshold; ``component_id`` is the least
+    ``doc_id`` of all that are reachable by links, a row's own included (null ids don't count, but pass links on).
+    ``node`` numbers equal sets. Rows without words have no node, are linked with nothing, and are their own
+    component. Repeated rows are linked like other equal texts; of other columns none is read; an empty table gives
+    no rows.
+    """
+    placed = rooted(docs, n, threshold)
     least = placed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", "node")
+    own = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return placed.join(least, "root", "left").select("doc_id", "n_shingles", own.alias("component_id"), "node")
+
+
+def representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(80, 100)) -> DataFrame:
+    """One row of ``docs`` for each component, unchanged and with all columns; all rows without words stay.
+
+    It is the row of the least ``doc_id`` (null only if there is no other), of rows of one id the one with the least
+    set number, then with the least hash of all columns.
+    """
+    placed = rooted(docs, n, threshold).filter(F.col("root").isNotNull())
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")
+    kept = placed.groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.doc_id").alias("_id"), F.col("kept.node").alias("_kept"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            tokens, sizes = token_sets(Words(batch.column(batch.schema.get_field_index("text")), lower=True), n)
+            node = pa.array(nodes(tokens, sizes).view(np.int64), pa.int64(), mask=sizes == 0)
+            yield pa.record_batch([*batch.columns, node], names=[*batch.schema.names, "_node"])
+
+    numbered = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
+    empty = docs.filter(~text_or_empty().rlike(WORD))
+    chosen = numbered.join(kept, (F.col("_node") == F.col("_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    first = Window.partitionBy("_kept", "_id").orderBy(F.xxhash64(*docs.columns))
+    chosen = chosen.withColumn("_row", F.row_number().over(first)).filter("_row = 1")
+    return chosen.select(*docs.columns).unionByName(empty)

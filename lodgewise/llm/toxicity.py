@@ -174,28 +174,40 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     return Model(buckets, weights.astype(np.float32), bias)
 
 
-def score(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns and ``score``, the chance that a text is toxic, for every whole text.
+def _scores(texts: pa.Array, model: Model | None, weight: np.ndarray | None) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(texts))
+    owner, bucket = features(texts)
+    known = ~np.isnan(weight[bucket])
+    owner, bucket = _distinct(owner[known], bucket[known])
+    z = np.bincount(owner, weight[bucket], minlength=len(texts)) + model.bias
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+
+def score(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``doc_id`` and ``score``, the chance that a text is toxic, for every whole text.
 
     Null and empty texts get the score of a text without features; without a model every score is 0. Only texts are
     read, so equal texts have equal scores; rows are neither dropped nor joined; an empty table gives no rows.
     """
-    kept = [f"_{i}" for i in range(len(carry))]
-    rows = docs.select(*[F.col(c).alias(k) for c, k in zip(carry, kept)], F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = model.table() if model else None
         for batch in slices(batches, "text"):
-            z = np.full(batch.num_rows, -np.inf)
-            if weight is not None:
-                owner, bucket = features(batch.column(batch.num_columns - 1))
-                known = ~np.isnan(weight[bucket])
-                owner, bucket = _distinct(owner[known], bucket[known])
-                z = np.bincount(owner, weight[bucket], minlength=batch.num_rows) + model.bias
-            scores = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-            if weight is None:
-                scores[:] = 0
-            yield pa.record_batch([*batch.columns[:-1], pa.array(scores)], names=[*carry, "score"])
-
-    return rows.mapInArrow(run, schema)
+            scores = _scores(batch.column(1), model, weight)
+            yield pa.record_batch([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id bigint, score double")
+
+
+def keep(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, unchanged and with all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = model.table() if model else None
+        for batch in slices(batches, "text"):
+            clean = _scores(batch.column(batch.schema.get_field_index("text")), model, weight) < threshold
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
