@@ -12,7 +12,9 @@ from checks.expected import SQL
 from checks.queries import QUERIES
 from lodgewise.session import local_session
 
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 
 
 def database(folder: str) -> duckdb.DuckDBPyConnection:
