@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodgewise.llm.common import WORD, Words, as_long, mix, slices, text_or_empty
+from lodgewise.llm.common import WORD, Words, as_long, mix, slices, text_or_empty, unused
 from lodgewise.llm.components import components
 from lodgewise.session import stored
 
@@ -300,18 +300,19 @@ def representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(
     set number, then with the least hash of all columns.
     """
     placed = rooted(docs, n, threshold).filter(F.col("root").isNotNull())
+    known, number, least, place = (unused(name, docs.columns) for name in ("_node", "_kept", "_id", "_row"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")
-    kept = placed.groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.doc_id").alias("_id"), F.col("kept.node").alias("_kept"))
+    kept = placed.groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.doc_id").alias(least), F.col("kept.node").alias(number))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             tokens, sizes = token_sets(Words(batch.column(batch.schema.get_field_index("text")), lower=True), n)
             node = pa.array(nodes(tokens, sizes).view(np.int64), pa.int64(), mask=sizes == 0)
-            yield pa.record_batch([*batch.columns, node], names=[*batch.schema.names, "_node"])
+            yield pa.record_batch([*batch.columns, node], names=[*batch.schema.names, known])
 
-    numbered = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())]))
+    numbered = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(known, T.LongType())]))
     empty = docs.filter(~text_or_empty().rlike(WORD))
-    chosen = numbered.join(kept, (F.col("_node") == F.col("_kept")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    first = Window.partitionBy("_kept", "_id").orderBy(F.xxhash64(*docs.columns))
-    chosen = chosen.withColumn("_row", F.row_number().over(first)).filter("_row = 1")
+    chosen = numbered.join(kept, (F.col(known) == F.col(number)) & F.col("doc_id").cast("long").eqNullSafe(F.col(least)))
+    first = Window.partitionBy(number, least).orderBy(F.xxhash64(*docs.columns))
+    chosen = chosen.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
     return chosen.select(*docs.columns).unionByName(empty)

@@ -120,7 +120,10 @@ def mix(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5, mo
     its first words, joined by one blank, and ``n_chars`` (if there) counts them. Documents without words take no
     part in the demand and come once, at their source's beginning; with an empty table the result is empty.
     """
-    told = allot(docs, cycle, share, most)
+    used = ["doc_id", "source", "text"]
+    others = [c for c in docs.columns if c not in used]  # out of the way of the columns that are added here
+    rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("_rest")] if others else []
+    told = allot(docs.select(*used, *rest), cycle, share, most)
     words = F.col("_words")
     copies = F.greatest(F.lit(1), F.ceil(F.col("taken") / F.greatest(F.lit(1), F.col("size")))).cast("int")
     told = told.filter((F.col("taken") > 0) | (F.col("size") == 0))
@@ -130,7 +133,9 @@ def mix(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5, mo
     cut = words < F.col("size")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
     told = told.withColumn("text", F.when(cut, part).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        told = told.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    columns = {c: F.col(c) if c in used else F.col(f"_rest.`{c}`") for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(cut, F.char_length("text").cast("long")).otherwise(columns["n_chars"])
     order = ["_at", "doc_id", "_copy"]
-    return told.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    ordered = told.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ordered.select(*[value.alias(name) for name, value in columns.items()])

@@ -138,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
     Positives are up to ``settings.positives`` texts that some label calls toxic, unlabelled texts about
     ``settings.unlabelled`` of all others, both by the order of their ids' hashes. The prior is the share of toxic
-    among the labels. Null labels are no labels. Without any confirmed positive there is no model.
+    among the labels. Null labels are no labels. Without any confirmed positive, or any
+    feature that tells positives from the rest, there is no model.
     """
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & ~held_out())
     toxic = known.filter("toxic = 1").select("doc_id").distinct()
@@ -168,6 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     share_toxic = prior * (F.col("p") / n_p) / ((F.col("u") + 1) / n_u)
     best = counts.withColumn("score", score).filter((F.col("score") > 4) & (share_toxic > 0.3)).orderBy(F.desc("score"), "bucket").limit(settings.features)
     buckets = np.array(sorted(r["bucket"] for r in best.select("bucket").collect()), np.int64)
+    if not len(buckets):
+        return None
     sample = _chosen(rows, buckets).toPandas()  # at most the two samples, a few features each
     held = [np.asarray(h, np.int64) for h in sample["held"]]
     weights, bias = learnt(held, sample["positive"].to_numpy() == 1, len(buckets), prior, settings)

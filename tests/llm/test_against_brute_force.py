@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
-import tiktoken
+import tiktoken.load
 
 from lodgewise.llm import decontaminate, fm_index, imatch, jaccard_join, line_dedup, mixing, packing, pii, substring_dedup, url_filter
 

@@ -23,7 +23,7 @@ ROWS = [
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 CLASHING = (
     "n_lines n_removed name a b key node root u v component_id n_shingles first begin size target taken laid start end score "
-    "positive held predicted bucket row anchor shard content total hash slot place n text_id hashes _hash _key _row _place _copy _words"
+    "positive held predicted bucket row anchor shard content total hash slot place n text_id hashes _hash _key _row _place _copy _words _node _id _kept _runs _doc _at"
 ).split()
 
 
@@ -91,6 +91,9 @@ def test_clashing_columns_change_nothing(docs, name):
     assert rows(plain) == rows(clashing)
     if name in FILTERS:
         assert clashing.columns == more.columns
+    if name in FILTERS or name == "line_dedup":
+        kept = [c for c in CLASHING if name in FILTERS or c not in ("n_lines", "n_removed")]
+        assert clashing.select(*kept).distinct().collect() == [("extra",) * len(kept)]
 
 
 def test_texts_that_are_alike_in_nothing_stay(docs):
