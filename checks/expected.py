@@ -545,7 +545,7 @@ UNION ALL SELECT DISTINCT 'run-' || model, model, 'experiment', 'comparison', 0
 )
 SQL["search_runs"] = sql(
     f"""SELECT 'run-' || model AS run_id, 'experiment' AS parent_run_id, model AS name, {cols(METRICS)} FROM met
-WHERE met.roc_auc > 0.45 ORDER BY met.roc_auc DESC LIMIT 100"""
+WHERE met.roc_auc > 0.45 ORDER BY met.roc_auc DESC"""
 )
 SQL["experiment_summary"] = sql(
     f"""SELECT model, {cols(METRICS)}, (SELECT count(*) FROM met) AS n_models,

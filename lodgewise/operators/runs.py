@@ -16,7 +16,6 @@ from lodgewise.schema import ROLES, SEED
 RUNS = "run_id string, parent_run_id string, name string, tags map<string,string>, started timestamp"
 PARAMS = "run_id string, key string, value string"
 METRIC_ROWS = "run_id string, metric string, value double"
-MAX_RESULTS = 100
 
 
 def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
@@ -70,15 +69,16 @@ def search_runs(
     metrics: DataFrame,
     where: str | Column | None = None,
     order_by: Sequence[Column] | None = None,
-    max_results: int = MAX_RESULTS,
+    max_results: int | None = None,
     names: Sequence[str] = tuple(METRICS),
 ) -> DataFrame:
-    """Runs with their metrics as columns, filtered, best ROC-AUC first, at most ``max_results``."""
+    """Runs with their metrics as columns, filtered, best ROC-AUC first; all of them unless ``max_results`` is given."""
     wide = metrics.groupBy("run_id").pivot("metric", list(names)).agg(F.max("value"))
     found = runs.join(wide, "run_id", "left")
     if where is not None:
         found = found.where(where)
-    return found.orderBy(*(order_by or [F.desc_nulls_last("roc_auc"), F.col("run_id")])).limit(max_results)
+    ordered = found.orderBy(*(order_by or [F.desc_nulls_last("roc_auc"), F.col("run_id")]))
+    return ordered if max_results is None else ordered.limit(max_results)
 
 
 def run_data_stats(df: DataFrame, n_features: int, split: str = "split", target: str = ROLES.target) -> DataFrame:
@@ -149,5 +149,5 @@ class RunLog:
         schema = {"runs": RUNS, "params": PARAMS, "metrics": METRIC_ROWS}[name]
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def search(self, where: str | Column | None = None, max_results: int = MAX_RESULTS) -> DataFrame:
+    def search(self, where: str | Column | None = None, max_results: int | None = None) -> DataFrame:
         return search_runs(self.table("runs"), self.table("metrics"), where, max_results=max_results)

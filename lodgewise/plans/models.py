@@ -60,9 +60,10 @@ def _boosted(p: dict, leaf: str) -> Estimator:
 
 
 def hidden_layers(p: dict) -> list[int]:
-    """Hidden layer widths, from tuned per-layer entries if there are any."""
-    tuned = [p[f"n_units_l{i}"] for i in range(p.get("n_layers", 0)) if f"n_units_l{i}" in p]
-    return tuned or list(p["hidden_layers"])
+    """Hidden layer widths: the searched ones by layer number, the first ``n_layers`` of them, else ``hidden_layers``."""
+    prefix = "n_units_l"
+    searched = sorted((int(key.removeprefix(prefix)), width) for key, width in p.items() if key.startswith(prefix))
+    return [width for _, width in searched[: p.get("n_layers")]] or list(p["hidden_layers"])
 
 
 def _perceptron(p: dict, n_inputs: int) -> Estimator:

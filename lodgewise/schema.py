@@ -131,7 +131,7 @@ class ModelDefaults:
         default_factory=lambda: {
             "batch_size": 32,
             "epochs": 100,
-            "hidden_layers": [256, 128, 64],
+            "hidden_layers": [361, 348, 414, 125],
             "learning_rate": 0.00019112050481819872,
         }
     )

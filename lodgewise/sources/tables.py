@@ -27,8 +27,17 @@ def database_table(spark: SparkSession, url: str, table: str = VIEW, **options:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType = BOOKING_DDL) -> DataFrame:
-    """CSV with a header and a given schema, so that the file is read once."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """CSV with a header. Columns go by name, in any order; those of the schema come first, with its types.
+
+    Values that don't fit their type are null, columns beyond the schema stay text, and a missing one is an error.
+    """
+    told = spark.read.option("header", True).csv(path)
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    missing = [name for name in wanted.names if name not in told.columns]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    typed = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted]
+    return told.select(*typed, *[F.col(f"`{name}`") for name in told.columns if name not in wanted.names])
 
 
 def register(df: DataFrame, view: str = VIEW) -> DataFrame:

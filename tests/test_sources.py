@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import DataFrame
 
 from lodgewise.operators import aggregates, profile, runs
@@ -28,6 +29,15 @@ def test_csv_parquet_and_json_round_trips(spark, clean_bookings, tmp_path):
     assert spark.read.schema(schema).json(str(tmp_path / "js")).count() == 500
 
 
+def test_csv_goes_by_column_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("no_show,extra,booking_id\n1,x,77\n0,y,many\n")
+    got = tables.read_csv(spark, str(tmp_path / "a.csv"), "booking_id bigint, no_show int")
+    assert got.columns == ["booking_id", "no_show", "extra"]
+    assert [tuple(r) for r in got.collect()] == [(77, 1, "x"), (None, 0, "y")]
+    with pytest.raises(ValueError, match="price"):
+        tables.read_csv(spark, str(tmp_path / "a.csv"), "booking_id bigint, price double")
+
+
 def test_canonical_and_roles(clean_bookings):
     df = clean_bookings.selectExpr("*", "CASE WHEN booking_id > 10 THEN no_show END AS t").drop("no_show").withColumnRenamed("t", "no_show")
     assert tables.canonical(df).count() == 490

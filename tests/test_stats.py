@@ -107,3 +107,13 @@ def test_ranking_joins_both_kinds(spark, clean_bookings):
     assert {r["type"] for r in out} == {"numerical", "categorical"}
     strengths = [r["abs_correlation"] for r in out]
     assert strengths == sorted(strengths, reverse=True)
+
+
+def test_tails_at_large_degrees_of_freedom():
+    from lodgewise.functions import distributions
+
+    assert abs(distributions.chi2_tail(1e10, 1e10) - 0.4999981) < 1e-7
+    assert abs(distributions.t_two_sided(2.0, 1e12) - 0.0455002639) < 1e-10
+    for x in (0.999e6, 1e6, 1.001e6, 1.003e6):  # the exact forms go over into the normal ones
+        exact, near = distributions.chi2_tail(x, 1e6), distributions.chi2_tail(x * (1 + 1e-9), 1e6 * (1 + 1e-9))
+        assert abs(exact - near) < 1e-5
