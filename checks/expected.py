@@ -212,9 +212,14 @@ SQL["rate_by_quantile"] = o.with_extra(
     f"""vals AS ({o.numeric_long('imputed', EDA_NUMERIC, 'no_show, ')}),
 edges AS (SELECT "column", list_sort(list_distinct(quantile_cont(value, [0, 0.2, 0.4, 0.6, 0.8, 1]))) AS e
   FROM vals GROUP BY 1 HAVING count(DISTINCT value) > 12),
-binned AS (SELECT v.*, e, greatest(1, len(list_filter(e, lambda x: x < value)))::INTEGER AS bin FROM vals v JOIN edges USING ("column"))""",
+binned AS (SELECT v.*, e, greatest(1, len(list_filter(e, lambda x: x < value)))::INTEGER AS bin FROM vals v JOIN edges USING ("column")),
+valued AS (SELECT "column", value, avg(no_show) * 100 AS pct, count(*) AS n FROM vals
+  WHERE value IS NOT NULL AND "column" NOT IN (SELECT "column" FROM edges) GROUP BY 1, 2)""",
     f"""SELECT "column", bin, {r('e[bin]', 4)} AS "lower", {r('e[bin + 1]', 4)} AS "upper", {r('avg(no_show) * 100')} AS no_show_pct, count(*) AS n
-FROM binned GROUP BY "column", bin, e""",
+FROM binned GROUP BY "column", bin, e
+UNION ALL
+SELECT "column", (row_number() OVER (PARTITION BY "column" ORDER BY value))::INTEGER, {r('value', 4)}, {r('value', 4)}, {r('pct')}, n
+FROM valued""",
 )
 SQL["crosstab"] = sql("SELECT platform, no_show, count(*) AS n FROM noshow GROUP BY ALL")
 SQL["crosstab_wide"] = sql(
@@ -483,7 +488,7 @@ z1 AS (SELECT "column", (x/nx - y/ny) / sqrt((x + y) / (nx + ny) * (1 - (x + y)
 res AS (SELECT "column", z AS statistic, {Z_P} AS score FROM z1)""",
     drift_rows("res", "z", "p_value"),
 )
-# columns with up to five values count as categories
+# small counts of people are compared as categories
 FEW = ["num_adults", "num_children"]
 MANY = [c for c in o.DRIFT_NUMERIC if c not in FEW]
 COLUMNS = (

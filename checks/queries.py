@@ -671,15 +671,20 @@ def _(spark, folder):
     return rounded(drift.z_proportion(*_halves(spark, folder), ["branch", "first_time"]))
 
 
+# small counts of people are compared as categories
+DRIFT_COUNTS = ["num_adults", "num_children"]
+DRIFT_MEASURES = [c for c in DRIFT_NUMERIC if c not in DRIFT_COUNTS]
+
+
 @query("drift_columns")
 def _(spark, folder):
-    columns, _ = monitoring.monitor_drift(*_halves(spark, folder), DRIFT_NUMERIC, DRIFT_CATEGORICAL)
+    columns, _ = monitoring.monitor_drift(*_halves(spark, folder), DRIFT_MEASURES, [*DRIFT_CATEGORICAL, *DRIFT_COUNTS])
     return rounded(columns.select("column", "method", "score", "drifted"))
 
 
 @query("drift_summary")
 def _(spark, folder):
-    _, summary = monitoring.monitor_drift(*_halves(spark, folder), DRIFT_NUMERIC, DRIFT_CATEGORICAL)
+    _, summary = monitoring.monitor_drift(*_halves(spark, folder), DRIFT_MEASURES, [*DRIFT_CATEGORICAL, *DRIFT_COUNTS])
     return rounded(summary)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgewise.operators import order_stats
@@ -64,9 +64,9 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def rate_by_quantile(df: DataFrame, columns: Sequence[str], bins: int = 5, min_distinct: int = 13) -> DataFrame:
-    """Rate per quantile bin, for columns with many values; equal edges are merged.
+    """Rate per quantile bin; equal edges are merged. Columns of fewer than ``min_distinct`` values have a bin per value.
 
-    Bins are open below and closed above; the first one includes its lower edge.
+    Bins are open below and closed above; the first one includes its lower edge. A value's bin begins and ends with it.
     """
     probs = [i / bins for i in range(bins + 1)]
     edges = (
@@ -74,16 +74,16 @@ def rate_by_quantile(df: DataFrame, columns: Sequence[str], bins: int = 5, min_d
         .groupBy("column")
         .agg(F.array_distinct(F.array_sort(F.collect_list("quantile"))).alias("edges"))
     )
-    wide = distinct_counts(df, columns).where(F.col("distinct") >= min_distinct).select("column")
-    edges = stored(edges.join(wide, "column"), "edges")
+    many = distinct_counts(df, columns).select("column", (F.col("distinct") >= min_distinct).alias("many"))
+    edges = stored(edges.join(many, "column"), "edges")
+    rate = [(F.avg(TARGET) * 100).alias("no_show_pct"), F.count("*").alias("n")]
+    rows = order_stats.melt(df, columns, [TARGET]).where("value is not null").join(edges, "column")
     index = F.greatest(F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("value"))))
-    return (
-        order_stats.melt(df, columns, [TARGET])
-        .where("value is not null")
-        .join(edges, "column")
+    binned = (
+        rows.where("many")
         .select("column", "edges", index.alias("bin"), TARGET)
         .groupBy("column", "bin", "edges")
-        .agg((F.avg(TARGET) * 100).alias("no_show_pct"), F.count("*").alias("n"))
+        .agg(*rate)
         .select(
             "column",
             "bin",
@@ -93,6 +93,14 @@ def rate_by_quantile(df: DataFrame, columns: Sequence[str], bins: int = 5, min_d
             "n",
         )
     )
+    place = F.row_number().over(Window.partitionBy("column").orderBy("value"))  # of fewer than min_distinct values
+    valued = (
+        rows.where("not many")
+        .groupBy("column", "value")
+        .agg(*rate)
+        .select("column", place.alias("bin"), F.col("value").alias("lower"), F.col("value").alias("upper"), "no_show_pct", "n")
+    )
+    return binned.unionByName(valued)
 
 
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:

@@ -12,15 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgewise.functions.distributions import chi2_p, kolmogorov_p, normal_p
-from lodgewise.operators.aggregates import distinct_counts
 from lodgewise.operators.order_stats import exact_quantiles, melt, running_totals
 from lodgewise.schema import (
     CRITICAL_DRIFT_SHARE,
     DATASET_DRIFT_SHARE,
     DRIFT_DISTANCE,
     DRIFT_P_VALUE,
-    FEW_VALUES,
-    SMALL_REFERENCE_ROWS,
 )
 
 P_VALUE, DISTANCE = "p_value", "distance"
@@ -139,36 +136,22 @@ def jensen_shannon(reference: DataFrame, current: DataFrame, columns: Sequence[s
 METHODS = {"ks": ks, "wasserstein": wasserstein, "chi2": chi2, "z": z_proportion, "jensen_shannon": jensen_shannon}
 
 
-def choose_methods(reference: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> dict[str, list[str]]:
-    """Method per column by size of the reference, kind of column and number of values.
-
-    Small frames get tests, large ones distances; numeric columns with few values count as
-    categories. Only one row per column reaches the driver.
-    """
-    columns = [*numeric, *categorical]
-    small = reference.limit(SMALL_REFERENCE_ROWS + 1).count() <= SMALL_REFERENCE_ROWS
-    distinct = {r["column"]: r["distinct"] for r in distinct_counts(reference, columns).collect()}
-    chosen: dict[str, list[str]] = {}
-    for c in columns:
-        many = c in numeric and distinct[c] > FEW_VALUES
-        if small:
-            method = "ks" if many else "chi2" if distinct[c] > 2 else "z"
-        else:
-            method = "wasserstein" if many else "jensen_shannon"
-        chosen.setdefault(method, []).append(c)
-    return chosen
-
-
 def column_drift(
     reference: DataFrame,
     current: DataFrame,
     numeric: Sequence[str],
     categorical: Sequence[str],
-    methods: dict[str, list[str]] | None = None,
+    methods: dict[str, Sequence[str]] | None = None,
 ) -> DataFrame:
-    """One score per role column, each by the method that suits it."""
-    chosen = methods or choose_methods(reference, numeric, categorical)
-    parts = [METHODS[m](reference, current, columns) for m, columns in sorted(chosen.items())]
+    """One score per role column.
+
+    ``methods`` names the columns of each method, and a column may have several. By default, and at every size,
+    numeric columns are compared by Wasserstein distance and categories by Jensen-Shannon distance.
+    """
+    chosen = methods or {"wasserstein": numeric, "jensen_shannon": categorical}
+    parts = [METHODS[m](reference, current, columns) for m, columns in sorted(chosen.items()) if columns]
+    if not parts:
+        raise ValueError("no columns to compare")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -17,13 +17,14 @@ def monitor_drift(
     numeric: list[str] | None = None,
     categorical: list[str] | None = None,
     output: str | None = None,
+    methods: dict[str, list[str]] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Column scores and their summary, computed once. Key and target are not features."""
     if numeric is None or categorical is None:
         inferred = infer_roles(reference, exclude=(ROLES.key,))
         numeric = inferred[0] if numeric is None else numeric
         categorical = inferred[1] if categorical is None else categorical
-    columns = stored(drift.column_drift(reference, current, numeric, categorical), "drift")
+    columns = stored(drift.column_drift(reference, current, numeric, categorical, methods), "drift")
     summary = drift.drift_summary(columns)
     if output:
         write_json(columns, f"{output}/columns", "overwrite")

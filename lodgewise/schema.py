@@ -88,8 +88,6 @@ DRIFT_P_VALUE = 0.05
 DRIFT_DISTANCE = 0.1
 DATASET_DRIFT_SHARE = 0.5
 CRITICAL_DRIFT_SHARE = 0.3
-SMALL_REFERENCE_ROWS = 1000
-FEW_VALUES = 5
 
 
 @dataclass(frozen=True)

@@ -44,17 +44,25 @@ def test_drift_is_found_and_counted(spark, tmp_path):
     _, ref = frame(spark, 200)
     _, cur = frame(spark, 200, 3.0, c="aab", seed=2, b=0.95)
     columns, summary = monitoring.monitor_drift(ref, cur, output=str(tmp_path))
-    assert {r["column"]: r["method"] for r in columns.collect()} == {"x": "ks", "c": "chi2", "b": "z"}
+    assert {r["column"]: r["method"] for r in columns.collect()} == {"x": "wasserstein", "c": "jensen_shannon", "b": "jensen_shannon"}
     out = summary.first()
     assert out["drifted_features"] == "b,c,x" and out["dataset_drift"] and out["critical_drift"]
     assert spark.read.json(str(tmp_path / "columns")).count() == 3
 
 
-def test_large_frames_use_distances(spark):
-    _, ref = frame(spark, 1001)
-    chosen = drift.choose_methods(ref, ["x"], ["c", "b"])
-    assert chosen == {"wasserstein": ["x"], "jensen_shannon": ["c", "b"]}
-    out = drift.jensen_shannon(ref, ref, ["c"]).first()
+def test_methods_depend_on_no_size_and_can_be_named(spark):
+    for n in (50, 1001):
+        _, df = frame(spark, n)
+        out = {r["column"]: r["method"] for r in drift.column_drift(df, df, ["x"], ["c", "b"]).collect()}
+        assert out == {"x": "wasserstein", "c": "jensen_shannon", "b": "jensen_shannon"}
+    named = drift.column_drift(df, df, [], [], {"ks": ["x"], "wasserstein": ["x"], "chi2": ["c"], "z": ["b"]})
+    assert sorted((r["column"], r["method"], r["drifted"]) for r in named.collect()) == [
+        ("b", "z", False),
+        ("c", "chi2", False),
+        ("x", "ks", False),
+        ("x", "wasserstein", False),
+    ]
+    out = drift.jensen_shannon(df, df, ["c"]).first()
     assert (out["score"], out["score_kind"], out["drifted"]) == (0.0, "distance", False)
 
 

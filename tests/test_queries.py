@@ -8,8 +8,6 @@ import __spark_entry__ as driver
 from checks.compare import database, differences
 
 FOLDER = "/root/testdata/sf0.001"
-# the SQL of these assumes a reference frame of more than 1,000 rows, which these tables lack
-LARGE_ONLY = {"drift_columns", "drift_summary"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -27,7 +25,7 @@ def test_every_sql_has_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(driver.oracle_sql()) - LARGE_ONLY))
+@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     got = driver.queries()[name](spark, FOLDER).toPandas()
     assert differences(got, con.sql(driver.oracle_sql()[name]).df()) == ""
