@@ -155,7 +155,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    kept = line_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    # the SQL knows runs of two lines only
+    kept = line_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"), min_words=None)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -51,6 +51,40 @@ def test_line_dedup(spark, least):
     assert [got[i] for i in range(1, len(texts) + 1)] == brute_lines(texts, least)
 
 
+def brute_long_lines(texts, least, words):
+    """As `brute_lines`; runs of fewer lines go too if they have so many words."""
+    seen, out = set(), []
+    for text in texts:
+        lines = text.split("\n") if text else []
+        gone = set()
+        for i in range(len(lines)):
+            for n in range(1, least + 1):
+                run = tuple(lines[i : i + n])
+                if len(run) == n:
+                    if run in seen and (n == least or len(WORD.findall(" ".join(run))) >= words):
+                        gone.update(range(i, i + n))
+                    seen.add(run)
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if text else text)
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_line_dedup_of_long_lines(spark, least):
+    rng = random.Random(least)
+    lines = [" ".join(prose(rng, n)) for n in (1, 2, 3, 5, 9, 10, 11, 30)] + ["", "\t "]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 8))) for _ in range(60)] + [lines[-3]] * 3 + [None, ""]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, texts), least, 10).collect()}
+    assert [got[i] for i in range(1, len(texts) + 1)] == brute_long_lines(texts, least, 10)
+
+
+def test_one_line_documents_are_deduped(spark):
+    passage = " ".join(prose(random.Random(5), line_dedup.MIN_WORDS))
+    short = passage.rsplit(" ", 1)[0]
+    texts = [passage, f"unlike\n{passage}\nothers", passage, short, short]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in line_dedup.dedup(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(1, 6)] == [(passage, 0), ("unlike\nothers", 1), ("", 1), (short, 0), (short, 0)]
+
+
 # 2 decontamination
 
 
