@@ -695,28 +695,13 @@ def _(spark, folder):
     return rounded(drift.data_summary(frames, ["price", "arrival_day", "stay_length"], ["branch", "room"]), 3)
 
 
-# models
-
-
-# small forests and few rounds: the registered queries show that the jobs run, at any size of table
-_SMALL = {
-    "random_forest": {"n_estimators": 10, "max_depth": 6, "max_features": "sqrt"},
-    "xgboost": {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.1},
-    "lightgbm": {"n_estimators": 5, "max_depth": 4, "learning_rate": 0.1},
-    "neural_network": {"hidden_layers": [16], "epochs": 20, "batch_size": 128},
-}
-_SMALL_SPACES = {
-    "random_forest": {"n_estimators": ("int", 5, 10), "max_depth": ("int", 3, 6)},
-    "xgboost": {"n_estimators": ("int", 2, 4), "max_depth": ("int", 2, 4), "learning_rate": ("log", 0.05, 0.3)},
-    "lightgbm": {"n_estimators": ("int", 2, 4), "max_depth": ("int", 2, 4), "learning_rate": ("log", 0.05, 0.3)},
-    "neural_network": {"n_layers": ("int", 1, 2), "units": ("int", 4, 8), "batch_size": ("choice", [128, 256])},
-}
+# models: the published parameters, spaces, trials and folds
 
 
 def trained(spark, folder, name) -> training.Trained:
     def build():
         _, train, val, _ = vectors(spark, folder)
-        return training.train(name, train, val, _SMALL[name])
+        return training.train(name, train, val)
 
     return _once(spark, folder, f"model_{name}", build)
 
@@ -728,9 +713,7 @@ def _model_query(name):
 def _tune_query(name):
     def run(spark, folder):
         _, train, _, _ = vectors(spark, folder)
-        fixed = {"max_features": "sqrt"} if name == "random_forest" else {}
-        fixed = {**fixed, "epochs": 10} if name == "neural_network" else fixed
-        _, _, table = training.tune(name, train, trials=2, folds=2, space=_SMALL_SPACES[name], fixed=fixed)
+        _, _, table = training.tune(name, train)
         return table.select("trial", "cv_roc_auc_mean", "cv_roc_auc_std", F.to_json("params").alias("params"))
 
     return run
@@ -746,7 +729,7 @@ for _name in models.BUILDERS:
 @query("cv_summary")
 def _(spark, folder):
     _, train, _, _ = vectors(spark, folder)
-    mean, std = training.cross_validate("random_forest", _SMALL["random_forest"], train, 3)
+    mean, std = training.cross_validate("random_forest", models.defaults("random_forest"), train)
     return spark.createDataFrame([("random_forest", mean, std)], "model string, cv_roc_auc_mean double, cv_roc_auc_std double")
 
 

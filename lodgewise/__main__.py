@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodgewise.operators import evaluate
 from lodgewise.operators.runs import RunLog
 from lodgewise.plans import monitoring, scoring, training
-from lodgewise.schema import DEGRADATION_TOLERANCE
+from lodgewise.schema import CV_FOLDS, DEGRADATION_TOLERANCE
 from lodgewise.sources import tables
 
 METRIC_ROWS = "model string, metric string, value double"
@@ -37,7 +37,7 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("--models", nargs="+")
     for p in (assess, retrain):
         p.add_argument("--output", required=True)
-        p.add_argument("--folds", type=int, default=0)
+        p.add_argument("--folds", type=int, default=CV_FOLDS)
     assess.add_argument("--runs", help="folder of the run log")
     tune.add_argument("--trials", type=int, default=20)
     retrain.add_argument("--model", default="random_forest")

@@ -110,9 +110,10 @@ def _search(name: str, points: list[dict], vectors: DataFrame, folds: int, paral
 
 
 def train(
-    name: str, train_vectors: DataFrame, val_vectors: DataFrame, params: dict | None = None, folds: int = 0
+    name: str, train_vectors: DataFrame, val_vectors: DataFrame, params: dict | None = None, folds: int = CV_FOLDS
 ) -> Trained:
-    """Fit on train, evaluate on validation; ``folds`` adds a cross-validation on train."""
+    """Cross-validate on train (not with 0 ``folds``, nor the network), fit on train, evaluate on validation."""
+    folds = 0 if name == "neural_network" else folds
     full = {**models.defaults(name), **(params or {})}
     names = feature_names(train_vectors)
     extra: dict = {}
@@ -156,7 +157,7 @@ def tune_and_train(
     The search weighs classes by the data, and so does the refit.
     """
     best, score, _ = tune(name, train_vectors, **search)
-    done = train(name, train_vectors, val_vectors, {**(base or {}), "scale_pos_weight": 1.0, **best})
+    done = train(name, train_vectors, val_vectors, {**(base or {}), "scale_pos_weight": 1.0, **best}, folds=0)
     done.extra = {"tuning_best_cv_score": score}
     return done
 
@@ -195,8 +196,7 @@ def assess(
     parent = log.start("experiment", tags={"n_models": str(len(names))}) if log else None
     done = []
     for name in names:
-        cv = 0 if name == "neural_network" else folds
-        done.append(train(name, train_vectors, val_vectors, (params or {}).get(name), cv))
+        done.append(train(name, train_vectors, val_vectors, (params or {}).get(name), folds))
         if log:
             run = log.start(name, parent, {"model_type": name, "tuned": "false"})
             log.log_params(run, {"param": done[-1].params})
@@ -219,7 +219,7 @@ def tune_all(
     return max(done, key=lambda t: t.metrics["roc_auc"] or 0.0), results_long(raw.sparkSession, done)
 
 
-def retrain(raw: DataFrame, name: str, output: str, params: dict | None = None, folds: int = 0) -> Trained:
+def retrain(raw: DataFrame, name: str, output: str, params: dict | None = None, folds: int = CV_FOLDS) -> Trained:
     """Refit the champion and save what scoring needs: preprocessor, model and metrics."""
     fitted, train_vectors, val_vectors, _ = prepared(raw)
     done = train(name, train_vectors, val_vectors, params, folds)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodgewise.operators import encode, evaluate, split
 from lodgewise.operators.runs import RunLog
 from lodgewise.plans import models, monitoring, scoring, training
+from lodgewise.schema import CV_FOLDS, SEED
 
 SMALL = {
     "random_forest": {"n_estimators": 8, "max_depth": 4, "max_features": "sqrt", "min_samples_leaf": 2},
@@ -145,3 +146,39 @@ def test_weights_follow_the_model(spark):
     fixed = training.weighted(df, "xgboost", {"scale_pos_weight": 9.0}).where("no_show = 1").first()
     assert fixed["weight"] == 9.0
     assert split.class_weights(df).count() == 2
+
+
+def test_registered_models_are_the_published_ones(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from checks import queries
+
+    fits, searches = {}, []
+
+    def fit(name, train, val, params=None, folds=CV_FOLDS):
+        fits[name] = {**models.defaults(name), **(params or {})}, folds
+        return training.Trained(name, {}, None, {}, None)
+
+    def search(name, points, vectors, folds):
+        searches.append((name, points, folds))
+        return SimpleNamespace(avgMetrics=[0.5] * len(points), stdMetrics=[0.1] * len(points))
+
+    monkeypatch.setattr(queries, "vectors", lambda spark, folder: (None, spark.range(0), None, None))
+    monkeypatch.setattr(training, "train", fit)
+    monkeypatch.setattr(training, "_search", search)
+    for key in ("model_random_forest", "model_gbt", "model_gbt_balanced", "model_mlp", "cv_summary"):
+        queries.QUERIES[key](spark, "published")
+    for name in models.BUILDERS:
+        assert fits[name] == (models.defaults(name), CV_FOLDS)
+        queries.QUERIES[f"tune_{name}"](spark, "published")
+    assert searches[0] == ("random_forest", [models.defaults("random_forest")], CV_FOLDS)
+    for name, points, folds in searches[1:]:
+        rng = random.Random(SEED)
+        assert points == [models.draw(name, rng) for _ in range(50)] and folds == CV_FOLDS
+
+
+def test_jobs_cross_validate_unless_told_otherwise():
+    from lodgewise.__main__ import _parser
+
+    for job in ("assess", "retrain"):
+        assert _parser().parse_args([job, "--bookings", "b", "--output", "o"]).folds == CV_FOLDS
