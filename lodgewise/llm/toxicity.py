@@ -5,8 +5,8 @@ risk of calling texts clean is that on the unlabelled minus p times that on the
 difference negative, the model has begun to learn single texts by heart, and the step goes the other way. The
 classifier is logistic over the presence of hashed words and word beginnings.
 
-Fitting uses bounded samples; feature counts for it are summed in Spark. Scoring reads every whole text in a
-projection, without a shuffle.
+Which features there are is decided by counts over all texts and all positives, equal texts once, summed in Spark.
+Only the steps of the fit use bounded samples. Scoring reads every whole text in a projection, without a shuffle.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ _LETTER[128:] = True
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the samples and of the model; the prior is measured unless given."""
+    """Bounds of the samples that the steps use, and of the model; the prior is measured unless given."""
 
     positives: int = 10_000
     unlabelled: int = 20_000
@@ -77,15 +77,17 @@ def _distinct(owner: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts that contain each bucket, for positives and unlabelled; one row per bucket and task."""
-    counts = np.zeros((2, BUCKETS), np.int32)
+    """How many texts, and how many positives, contain each bucket: one row per bucket and task. Bucket -1 is in all."""
+    counts, n = np.zeros((2, BUCKETS), np.int64), np.zeros((2, 1), np.int64)
     for batch in slices(batches, "text"):
         owner, bucket = _distinct(*features(batch.column(1)))
-        positive = np.asarray(batch.column(0))[owner]
-        for kind in (0, 1):
-            counts[kind] += np.bincount(bucket[positive == kind], minlength=BUCKETS).astype(np.int32)
-    some = np.flatnonzero(counts.any(0))
-    yield pa.record_batch([as_long(some), *(as_long(counts[k][some].astype(np.int64)) for k in (0, 1))], names=["bucket", "u", "p"])
+        positive = np.asarray(batch.column(0)) == 1
+        counts[0] += np.bincount(bucket, minlength=BUCKETS)
+        counts[1] += np.bincount(bucket[positive[owner]], minlength=BUCKETS)
+        n += [[len(positive)], [positive.sum()]]
+    some = np.flatnonzero(counts[0])
+    buckets = np.concatenate([[-1], some])
+    yield pa.record_batch([as_long(buckets), *(as_long(np.append(n[k], counts[k][some])) for k in (0, 1))], names=["bucket", "u", "p"])
 
 
 def _chosen(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
@@ -136,10 +138,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
     """Learns from ``labels`` (``doc_id``, ``toxic``) and the texts of ``docs``, rows held out left aside.
 
-    Positives are up to ``settings.positives`` texts that some label calls toxic, unlabelled texts about
-    ``settings.unlabelled`` of all others, both by the order of their ids' hashes. The prior is the share of toxic
-    among the labels. Null labels are no labels. Without any confirmed positive, or any
-    feature that tells positives from the rest, there is no model.
+    Positives are the texts that some label calls toxic; unlabelled stand all texts. Features are chosen by counts over
+    all of both. The steps use up to ``settings.positives`` and about ``settings.unlabelled`` of them, by the order of
+    hashes. The prior is the share of toxic among the labels. Null labels are no labels. Without any confirmed positive,
+    or any feature that tells positives from the rest, there is no model.
     """
     known = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & ~held_out())
     toxic = known.filter("toxic = 1").select("doc_id").distinct()
@@ -156,12 +158,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     # equal texts count once: a text that was copied often would make its words look telling
     rows = positive.distinct().unionByName(texts.filter(some).select(F.lit(0).alias("positive"), "text").distinct())
     rows = stored(rows, "toxicity-sample")  # bounded by the settings
-    counts = rows.mapInArrow(_counted, "bucket bigint, u bigint, p bigint").groupBy("bucket").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
-    n = rows.groupBy("positive").count().collect()  # two rows
-    sizes = {r["positive"]: r["count"] for r in n}
-    n_p, n_u = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    if not n_p or not n_u:
+    flagged = texts.join(stored(toxic, "toxic-ids").withColumn("_toxic", F.lit(1)), "doc_id", "left")
+    once = flagged.groupBy("text").agg(F.max(F.coalesce("_toxic", F.lit(0))).alias("positive")).select("positive", "text")
+    counts = once.mapInArrow(_counted, "bucket bigint, u bigint, p bigint").groupBy("bucket").agg(F.sum("u").alias("u"), F.sum("p").alias("p"))
+    counts = stored(counts, "toxicity-counts")  # a row per bucket
+    sizes = counts.filter("bucket < 0").first()
+    n_p, n_u = (float(sizes["p"]), float(sizes["u"])) if sizes else (0.0, 0.0)
+    if not n_p:
         return None
+    counts = counts.filter("bucket >= 0")
     # how much oftener positives have a feature than all texts do, in standard deviations
     rate = (F.col("u") + F.col("p") + 1) / (n_u + n_p + 2)
     score = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_u))

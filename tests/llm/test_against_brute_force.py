@@ -8,11 +8,12 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken.load
 
-from lodgewise.llm import decontaminate, fm_index, imatch, jaccard_join, line_dedup, mixing, packing, pii, substring_dedup, url_filter
+from lodgewise.llm import decontaminate, fm_index, imatch, jaccard_join, line_dedup, mixing, packing, pii, substring_dedup, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -326,6 +327,41 @@ def test_imatch_edited_texts(spark):
     assert rows[1]["near_next"] == 1  # its next is the last document, which is equal
 
 
+# 7 toxicity
+
+
+def toxic_corpus(spark):
+    """2,400 texts, a sixth toxic; one toxic text in twelve has the rare word instead of the common one."""
+    rng, rows, labels = random.Random(7), [], []
+    for i in range(2_400):
+        words = prose(rng, 20)
+        if i % 6 == 0:
+            words[3] = "scoundrel" if i % 72 else "blatherskite"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 6 == 0)))
+    rows += [(10_000 + k, rows[1][1] + " copied") for k in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    return docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")
+
+
+def test_toxic_features_are_counted_over_all_texts(spark):
+    docs, labels = toxic_corpus(spark)
+    whole = toxicity.fit(docs, labels)
+    some = toxicity.fit(docs.repartition(5), labels, toxicity.Settings(positives=20, unlabelled=200))
+    assert some.buckets.tolist() == whole.buckets.tolist()
+    rare = toxicity.features(pa.array(["blatherskite"]))[1]
+    assert set(rare.tolist()) & set(some.buckets.tolist())
+
+
+def test_counts_take_equal_texts_once():
+    texts = pa.record_batch([pa.array([1, 0, 0]), pa.array(["vile man", "man man", ""])], names=["positive", "text"])
+    (got,) = toxicity._counted(iter([texts]))
+    told = {r["bucket"]: (r["u"], r["p"]) for r in got.to_pylist()}
+    (man,) = {int(b) for b in toxicity.features(pa.array(["man"]))[1]}
+    (vile,) = {int(b) for b in toxicity.features(pa.array(["vile"]))[1]}
+    assert told == {-1: (3, 1), man: (2, 1), vile: (1, 1)}
+
+
 # 9 mixing
 
 
