@@ -7,11 +7,15 @@ its own walk and its own steps, make it unlikely that all of them miss; how many
 themselves, edited as far as the threshold allows and as evenly as possible. Walks begin at each word of the documents and at each
 word of an item, so that an edit spoils only the walks that run into it. What shares a key is aligned exactly.
 
+Items too short for walks, and those for which the tables don't reach the recall, are cut into one part more than they
+may have edits: one part has none, so documents that hold a part are all that need aligning, and none is missed.
+
 Items are a stated query set: they are taken in blocks of bounded size, and every document is read once per block.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +30,8 @@ from lodgewise.llm.common import Words, gram_hashes, mix, slices
 BLOCK = 20_000
 #: Steps of a walk, sampled steps, and tables at most.
 STEPS, SAMPLED, MOST_TABLES = 8, 3, 24
-#: Items of fewer words are too common to count; from the second number on, edits are allowed.
-LEAST_WORDS, LEAST_EDITED = 5, 8
+#: From so many words on items may have edits, and are searched by walks; shorter ones are searched exactly, and by parts.
+LEAST_EDITED, LEAST_WALKED = 5, 8
 _BITMAP = 20
 
 
@@ -76,10 +80,15 @@ class Items:
         self.words = [hashes[words.first[i] : words.first[i + 1]] for i in range(len(texts))]
         size = np.array([len(w) for w in self.words], np.int64)
         self.edits = np.where(size < LEAST_EDITED, 0, np.floor((1 - similarity) * size + 1e-9)).astype(np.int64)
-        self.walked = np.flatnonzero(size >= LEAST_EDITED)
+        long = np.flatnonzero(size >= LEAST_WALKED)
         every = _tables(seed)
-        own = [[keys(self.words[i], t) for t in every] for i in self.walked]
-        self.tables = every[: self._needed(own, every, recall, seed)]
+        own = [[keys(self.words[i], t) for t in every] for i in long]
+        some = np.array([any(k[1].any() for k in o) for o in own], bool)  # the others stand on one word all along
+        self.walked, own = long[some], [o for o, s in zip(own, some) if s]
+        needed = self._needed(own, every, recall, seed)
+        if needed > MOST_TABLES:
+            self.walked, own, needed = long[:0], [], 0
+        self.tables = every[:needed]
         self.index = []
         for t in range(len(self.tables)):
             key = np.concatenate([k[t][0][k[t][1]] for k in own] + [np.empty(0, np.uint64)])
@@ -87,16 +96,30 @@ class Items:
             offset = np.concatenate([np.flatnonzero(k[t][1]) for k in own] + [np.empty(0, np.int64)])
             self.index.append(_Index(key, item.astype(np.int64), offset.astype(np.int64)))
         whole: dict[int, list[int]] = {}
-        for i in np.flatnonzero(size >= LEAST_WORDS).tolist():
-            if size[i] < LEAST_EDITED or not self._sure(i):
+        walked = set(self.walked.tolist())
+        for i in np.flatnonzero(size).tolist():
+            if i not in walked or not self._sure(i):
                 whole.setdefault(int(size[i]), []).append(i)
         self.whole = {
             n: _Index(np.concatenate([gram_hashes(self.words[i], n) for i in found]), np.array(found), np.zeros(len(found), np.int64))
             for n, found in whole.items()
         }
+        parts: dict[int, list[tuple[int, int]]] = {}
+        for i in np.flatnonzero(self.edits).tolist():
+            if i not in walked:
+                cuts = np.linspace(0, size[i], min(int(self.edits[i]) + 1, int(size[i])) + 1).astype(np.int64)
+                for low, high in itertools.pairwise(cuts.tolist()):
+                    parts.setdefault(high - low, []).append((i, low))
+        self.parts = {
+            n: _Index(np.concatenate([gram_hashes(self.words[i][o : o + n], n) for i, o in found]), *np.array(found, np.int64).T)
+            for n, found in parts.items()
+        }
 
     def _needed(self, own: list, every: list[Table], recall: float, seed: int) -> int:
-        """How many tables find this share of items that are edited as far as allowed, tried on 400 draws of them."""
+        """How many tables find this share of items that are edited as far as allowed, tried on 400 draws of them.
+
+        One more than there are if they don't all together.
+        """
         if not len(self.walked):
             return 0
         draw = np.random.default_rng(seed + 1)
@@ -116,7 +139,7 @@ class Items:
                     break
             first_hit.append(hit)
         place = min(len(first_hit), int(np.ceil(recall * len(first_hit)))) - 1
-        return min(MOST_TABLES, int(np.sort(first_hit)[place]) + 1)
+        return int(np.sort(first_hit)[place]) + 1
 
     def _sure(self, item: int) -> bool:
         """Whether some walk of some table stays inside the item, so that no copy of it can be missed."""
@@ -172,13 +195,18 @@ def leaks(words: Words, items: Items) -> list[tuple[int, int, int, int]]:
         for p, i in zip(place[inside].tolist(), item[inside].tolist()):
             found.setdefault((int(words.text[p]), i), (0, p))
     cells = []
-    for table, index in zip(items.tables, items.index):
-        key, distinct = keys(hashes, table)
-        place, item, offset = index.hits(np.where(distinct, key, ~key))
+
+    def look(place: np.ndarray, item: np.ndarray, offset: np.ndarray) -> None:
         if len(place):
             wide = items.edits[item] + 1
             # diagonals within the allowed edits of one another are looked at together
-            cells.append(np.stack([words.text[place], item, (place - offset) // wide], 1))
+            cells.append(np.unique(np.stack([words.text[place], item, (place - offset) // wide], 1), axis=0))
+
+    for table, index in zip(items.tables, items.index):
+        key, distinct = keys(hashes, table)
+        look(*index.hits(np.where(distinct, key, ~key)))
+    for n, index in items.parts.items():
+        look(*index.hits(gram_hashes(hashes, n)))
     cells = np.unique(np.concatenate(cells), axis=0) if cells else np.empty((0, 3), np.int64)
     for item in np.unique(cells[:, 1]).tolist():
         mine, want, most = cells[cells[:, 1] == item], items.words[item], int(items.edits[item])
@@ -196,7 +224,7 @@ def leaks(words: Words, items: Items) -> list[tuple[int, int, int, int]]:
 
 
 def blocks(items: DataFrame, similarity: float, recall: float, block: int = BLOCK) -> Iterator[Items]:
-    """The items in blocks of about ``block``; null and short texts are left out."""
+    """The items in blocks of about ``block``; null and empty texts are left out."""
     told = items.select("item_id", "text").filter(F.length("text") > 0)
     n = max(1, -(-told.count() // block))
     for b in range(n):
@@ -208,8 +236,8 @@ def find(docs: DataFrame, items: DataFrame, similarity: float = 0.8, recall: flo
     """Pairs ``doc_id``, ``item_id`` with ``distance``, ``n_words`` (of the item) and ``word``, one for each row and item.
 
     A document leaks an item if some part of it is within floor((1 - similarity) * n) word edits of the item's n
-    words, A-Z in lower case. Exact copies are always found, edited ones with the given recall. Items of 5 to 7 words
-    are found exactly, shorter ones not at all. ``word`` is about where the passage begins, counted from 0. Null and
+    words, A-Z in lower case; items of fewer than 5 words may have no edits. Exact copies are always found, edited ones
+    with the given recall, and those of items of 5 to 7 words all. ``word`` is about where the passage begins, counted from 0. Null and
     empty texts leak nothing; repeated rows and items give repeated pairs; of other columns none is read.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -130,6 +130,30 @@ def test_decontamination(spark):
     assert kept == set(range(1, len(texts) + 1)) - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("most_tables", [24, 1])
+def test_decontamination_of_short_and_hard_items(spark, monkeypatch, most_tables):
+    monkeypatch.setattr(decontaminate, "MOST_TABLES", most_tables)  # one doesn't reach the recall
+    rng = random.Random(23)
+    items = [[f"q{rng.randint(0, 40)}" for _ in range(n)] for n in [1, 2, 3, 4, 5, 5, 6, 6, 7, 7] * 3] + [["same"] * 10]
+    if most_tables == 1:
+        items += [[f"r{rng.randint(0, 900)}" for _ in range(n)] for n in (10, 20, 30)]
+    texts = []
+    for _ in range(120):
+        passage = list(rng.choice(items))
+        for _ in range(rng.choice([0, 1, 1, 2, len(passage) // 5])):
+            at = rng.randrange(len(passage) + 1)
+            passage[at : at + 1] = rng.choice([[], ["new"], ["new", "q1"]])
+        texts.append(" ".join(prose(rng, rng.randint(0, 20)) + passage + prose(rng, rng.randint(0, 20))))
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find(docs_of(spark, texts), table).collect()}
+    want = {}
+    for (d, text), (i, item) in itertools.product(enumerate(texts, 1), enumerate(items)):
+        far = brute_distance(item, text.split())
+        if far <= (0 if len(item) < 5 else len(item) // 5):
+            want[d, i] = far
+    assert got == want
+
+
 # 3 URL rules
 
 
