@@ -10,12 +10,15 @@ No window runs over a whole source: running totals are taken over hash buckets o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from lodgewise.llm.common import WORD, text_or_empty
+from lodgewise.llm.common import WORD, Words, as_long, slices, text_or_empty
 from lodgewise.session import stored
 
 
@@ -113,6 +116,41 @@ def first_position() -> Column:
     return F.when(F.col("taken") > 0, position(F.col("laid").cast("double")))
 
 
+def copies(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of `mix` with the columns of `allot`, ``_copy``, ``_words`` (that the copy has) and ``_at`` (its position)."""
+    told = allot(docs, cycle, share, most)
+    words = F.col("_words")
+    copies = F.greatest(F.lit(1), F.ceil(F.col("taken") / F.greatest(F.lit(1), F.col("size")))).cast("int")
+    told = told.filter((F.col("taken") > 0) | (F.col("size") == 0))
+    told = told.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    told = told.withColumn("_words", F.least(F.col("size"), F.col("taken") - F.col("_copy") * F.col("size")))
+    told = told.withColumn("_at", position((F.col("_copy") * F.col("source_size") + F.col("laid")).cast("double")))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    told = told.withColumn("text", F.when(words < F.col("size"), part).otherwise(F.col("text")))
+    order = ["_at", "doc_id", "_copy"]
+    return told.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def tally(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """As `allot`, without texts, but ``taken`` counts the words of the sorted copies: of each row of ``docs``, 0 without copies."""
+    key = ["doc_id", "source", "size", "laid"]
+    mixed = copies(docs, cycle, share, most).select(*[F.col(c).alias(f"_{c}") for c in key], "text")
+    columns = [f"_{c}" for c in key]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = as_long(Words(batch.column(len(columns))).counts().astype("int64"))
+            yield pa.record_batch([*batch.columns[: len(columns)], words], names=[*columns, "_n"])
+
+    # a plain aggregate would let Spark leave out the sort
+    emitted = mixed.mapInArrow(counted, StructType([*mixed.schema.fields[:-1], StructField("_n", LongType())]))
+    emitted = emitted.groupBy(*columns).agg(F.sum("_n").alias("_taken"))
+    told = allot(docs, cycle, share, most).drop("taken", "text")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    joined = told.join(emitted, same, "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long"))
+    return joined.drop("_taken", *columns)
+
+
 def mix(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mixed documents, one row per copy, sorted by training position; the columns of ``docs`` and no others.
 
@@ -123,19 +161,8 @@ def mix(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5, mo
     used = ["doc_id", "source", "text"]
     others = [c for c in docs.columns if c not in used]  # out of the way of the columns that are added here
     rest = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("_rest")] if others else []
-    told = allot(docs.select(*used, *rest), cycle, share, most)
-    words = F.col("_words")
-    copies = F.greatest(F.lit(1), F.ceil(F.col("taken") / F.greatest(F.lit(1), F.col("size")))).cast("int")
-    told = told.filter((F.col("taken") > 0) | (F.col("size") == 0))
-    told = told.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    told = told.withColumn("_words", F.least(F.col("size"), F.col("taken") - F.col("_copy") * F.col("size")))
-    told = told.withColumn("_at", position((F.col("_copy") * F.col("source_size") + F.col("laid")).cast("double")))
-    cut = words < F.col("size")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words.cast("int")), " ")
-    told = told.withColumn("text", F.when(cut, part).otherwise(F.col("text")))
+    ordered = copies(docs.select(*used, *rest), cycle, share, most)
     columns = {c: F.col(c) if c in used else F.col(f"_rest.`{c}`") for c in docs.columns}
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(cut, F.char_length("text").cast("long")).otherwise(columns["n_chars"])
-    order = ["_at", "doc_id", "_copy"]
-    ordered = told.repartitionByRange(*order).sortWithinPartitions(*order)
+        columns["n_chars"] = F.when(F.col("_words") < F.col("size"), F.char_length("text").cast("long")).otherwise(columns["n_chars"])
     return ordered.select(*[value.alias(name) for name, value in columns.items()])

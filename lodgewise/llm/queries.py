@@ -110,8 +110,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    # the order among rows of one id and size doesn't matter to these columns, so texts needn't be carried
-    sized = mixing.allot(docs)
+    sized = mixing.tally(docs)
     return sized.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 

@@ -405,6 +405,19 @@ def test_mixing_takes_what_it_told(spark):
     pd.testing.assert_frame_equal(mixed, again)
 
 
+def test_mixing_tallies_its_sorted_copies(spark, monkeypatch):
+    rng = random.Random(19)
+    rows = [(i, rng.choice(["a", "b", None]), " ".join(prose(rng, rng.randint(0, 20)))) for i in range(80)] + [(None, "b", "x y"), (3, "a", "x"), (3, "a", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").repartition(3)
+    columns = ["doc_id", "source", "size", "target", "laid", "taken"]
+    told = sorted(map(str, mixing.allot(docs).select(*columns).collect()))
+    assert sorted(map(str, mixing.tally(docs).select(*columns).collect())) == told
+    emitted = mixing.copies(docs)
+    monkeypatch.setattr(mixing, "copies", lambda *a: emitted.filter("_copy = 0"))
+    once = mixing.tally(docs).collect()
+    assert len(once) == len(rows) and sum(r["taken"] for r in once) == emitted.filter("_copy = 0").agg({"_words": "sum"}).first()[0]
+
+
 # 10 substring dedup
 
 
