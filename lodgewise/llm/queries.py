@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgewise.llm import decontaminate, imatch, jaccard_join, line_dedup, mixing, packing, pii, substring_dedup, toxicity, url_filter
+from lodgewise.llm import decontaminate, divergence, imatch, jaccard_join, line_dedup, mixing, packing, pii, substring_dedup, toxicity, url_filter
 from lodgewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,3 +207,46 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op13_source_divergence",
+    r"""
+    WITH d AS (
+      SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+    kept AS MATERIALIZED (
+      SELECT lang, term FROM (SELECT lang, unnest(list_distinct(t)) AS term FROM d) GROUP BY lang, term HAVING count(*) >= 10),
+    sizes AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+    tokens AS (SELECT lang, source, unnest(t) AS term FROM d),
+    counts AS MATERIALIZED (
+      SELECT lang, source, term, count(*)::HUGEINT AS c FROM tokens JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+    shares AS MATERIALIZED (
+      SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+        1 + (1000000000 * (coalesce(c, 0) + 2)) // (coalesce(sum(c) OVER (PARTITION BY g.lang, g.source), 0)::HUGEINT + 2 * v) AS p
+      FROM groups g JOIN kept k ON g.lang = k.lang JOIN sizes s ON g.lang = s.lang
+      LEFT JOIN counts n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+    whole AS (
+      SELECT lang, term, 1 + (1000000000 * (c + 2)) // (n + 2 * v) AS q
+      FROM (SELECT lang, term, sum(c)::HUGEINT AS c, sum(sum(c)) OVER (PARTITION BY lang)::HUGEINT AS n FROM counts GROUP BY lang, term)
+      JOIN sizes USING (lang)),
+    sums AS (
+      SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    pairs AS (
+      SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    terms AS (
+      SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value
+      FROM shares JOIN whole USING (lang, term) WHERE c > 0 AND p > q)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    WHERE part = 'pair' OR rank <= 10
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents").select("text", "lang", "source"))
