@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgewise.llm import decontaminate, divergence, imatch, jaccard_join, line_dedup, mixing, packing, pii, substring_dedup, toxicity, url_filter
+from lodgewise.llm import decontaminate, divergence, imatch, jaccard_join, line_dedup, mixing, near_vectors, packing, pii, substring_dedup, toxicity, url_filter
 from lodgewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,3 +250,30 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
+@query(
+    "op11_near_vectors",
+    """
+    WITH RECURSIVE fit AS (
+      SELECT row_number() OVER () AS nr, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS MATERIALIZED (
+      SELECT a.nr AS u, b.nr AS v, b.vec_id FROM fit a JOIN fit b ON a.nr <> b.nr AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+    reached AS (SELECT nr AS u, nr AS v FROM fit UNION SELECT r.u, l.v FROM reached r JOIN links l ON r.v = l.u),
+    lows AS (SELECT u, min(vec_id) AS component_id FROM reached JOIN fit ON reached.v = nr GROUP BY u),
+    degrees AS (SELECT u, count(*) AS n_links FROM links GROUP BY u),
+    linked AS (
+      SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id FROM fit JOIN lows ON lows.u = nr LEFT JOIN degrees d ON d.u = nr),
+    single AS (
+      SELECT vec_id, 0 AS n_links, vec_id AS component_id FROM embeddings
+      WHERE embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0
+        OR len(list_filter(embedding, lambda x: x <> 0)) = 0)
+    SELECT vec_id, n_links::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+    FROM (SELECT * FROM linked UNION ALL SELECT * FROM single)
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
