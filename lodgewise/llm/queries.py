@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgewise.llm import decontaminate, divergence, imatch, jaccard_join, line_dedup, mixing, near_vectors, packing, pii, substring_dedup, toxicity, url_filter
+from lodgewise.llm import decontaminate, divergence, imatch, jaccard_join, line_dedup, mixing, near_vectors, packing, pii, prefix_trie, substring_dedup, toxicity, url_filter
 from lodgewise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -277,3 +277,44 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query(
+    "op12_prefix_trie",
+    r"""
+    WITH crc AS (
+      SELECT list_transform(range(256), lambda i: list_reduce(
+        list_prepend(i, range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) AS t),
+    ordered AS MATERIALIZED (
+      SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(10) || coalesce(text, ''))) AS i
+      FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (
+      SELECT c, c - c % 100 AS base, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+        lambda v, b: xor(v // 256, t[xor(v, b) % 256 + 1]))) % 6 AS h
+      FROM (SELECT DISTINCT c FROM ordered), crc),
+    heads AS (SELECT v.c, o.i, o.role, o.text FROM convs v JOIN ordered o ON o.c = v.base AND o.i <= v.h),
+    rebuilt AS (
+      SELECT c, list({'role': role, 'text': text} ORDER BY i) AS turns FROM (
+        SELECT c, i, role, text FROM heads
+        UNION ALL SELECT o.c, o.i, o.role, o.text FROM ordered o JOIN convs v ON v.c = o.c AND o.i > v.h)
+      GROUP BY c),
+    whole AS MATERIALIZED (SELECT v.c, coalesce(turns, []) AS turns FROM convs v LEFT JOIN rebuilt r ON r.c = v.c),
+    members AS (SELECT c, d, turns[1:d] AS prefix, len(turns) = d AS ends FROM whole, unnest(range(len(turns) + 1)) AS u(d)),
+    nodes AS MATERIALIZED (
+      SELECT min(c) AS conv_id, d, prefix, count(*) AS n, coalesce(length(prefix[d].text), 0) AS chars,
+        sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+      FROM members GROUP BY d, prefix),
+    children AS (SELECT p.d, p.prefix, count(*) AS k FROM nodes p JOIN nodes n ON n.d = p.d + 1 AND n.prefix[1:p.d] = p.prefix GROUP BY p.d, p.prefix),
+    counted AS MATERIALIZED (SELECT n.*, coalesce(k, 0) AS k FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.prefix = n.prefix),
+    above AS (SELECT prefix[1:u.d] AS prefix, u.d, n, chars, k FROM counted c, unnest(range(c.d + 1)) AS u(d)),
+    sums AS (SELECT d, prefix, sum((n - 1) * chars) AS saved, count(*) FILTER (WHERE k = 0) AS leaves FROM above GROUP BY d, prefix)
+    SELECT c.conv_id, c.d::BIGINT AS depth, p.conv_id AS parent_conv_id, c.n::BIGINT AS n_convs, c.k::BIGINT AS n_children,
+      s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, c.ends_sha256
+    FROM counted c JOIN sums s ON s.d = c.d AND s.prefix = c.prefix LEFT JOIN nodes p ON p.d = c.d - 1 AND p.prefix = c.prefix[1:c.d - 1]
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefix_trie.placed(table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
+    return prefix_trie.expand(prefix_trie.build(*prefix_trie.spliced(turns)))
