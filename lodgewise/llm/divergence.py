@@ -1,9 +1,9 @@
 """Source divergence audit: how far the word use of each source is from that of the others of its language.
 
-`CountVectorizer` gives every document a sparse vector of exact term counts. A term is filed with its language, so one
-fit finds what a fit per language would: the terms in at least ``min_df`` documents of a language. The vocabulary of a
-fit is held by the driver and every executor, so terms are dealt into slices by hash, by their estimated number, and
-each slice has a fit of its own; vectors of all slices together are those of one fit without a bound.
+`CountVectorizer` gives every document a sparse vector of exact term counts. Its vocabulary has the terms in at least
+``min_df`` documents of a language, without a limit in number, and a term is filed with its language, so one pass does what one per
+language would. The vocabulary of a model is held by the driver and every executor, so the kept terms are counted first and dealt into slices by hash, by
+their exact number, and each slice is a model of its own; the vectors of all slices together are those of one model without a bound.
 
 The vectors are summed by (language, source), entry by entry. A pair of sources is evaluated on its entries alone: where
 a source lacks a term its share is a constant of the source, so all its empty places are one product.
@@ -12,43 +12,78 @@ a source lacks a term its share is a constant of the source, so all its empty pl
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodgewise.llm.common import text_or_empty
+from lodgewise.llm.common import SLICE_BYTES, Words, slices, text_or_empty
 from lodgewise.session import stored
 
-#: Runs of ASCII letters and of everything beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: All that `CountVectorizer` can take.
 MOST_TERMS = (1 << 31) - 1
 #: Terms of one vocabulary, about 100 MB in the driver and in each executor.
 SLICE_TERMS = 1 << 20
 _UNIT = 1_000_000_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# ASCII letters and everything beyond ASCII make terms
+_INSIDE = np.zeros(256, bool)
+_INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
 # stands between language and term; no term holds it
 _MARK = "\x00"
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """Language, source and the list of filed terms of each document."""
-    lang = text_or_empty("lang")
-    terms = F.regexp_extract_all(F.translate(text_or_empty(), _UPPER, _LOWER), F.lit(TERM), 0)
-    filed = F.transform(terms, lambda t: F.concat(lang, F.lit(_MARK), t))
-    return docs.select(lang.alias("lang"), text_or_empty("source").alias("source"), filed.alias("terms"))
-
-
-def _vectorizer(rows: DataFrame, min_df: int) -> CountVectorizerModel | None:
-    counts = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_df), vocabSize=MOST_TERMS)
-    try:
-        return counts.fit(rows)
-    except IllegalArgumentException as refused:  # how a fit tells that no term is left
-        if "vocabulary size should be > 0" not in str(refused):
-            raise
-        return None
+def _filed(batch: pa.RecordBatch) -> tuple[pa.StringArray, np.ndarray]:
+    """Language, mark and term of every term in the batch; the terms of text ``i`` are those from ``first[i]`` to ``first[i + 1]``."""
+    words = Words(batch.column("text"), lower=True, inside=_INSIDE)
+    langs, lang = np.unique(np.asarray(batch.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+    marks = [np.frombuffer((name + _MARK).encode(), np.uint8) for name in langs]
+    extra = np.array([len(m) for m in marks], np.int64)
+    of_word = lang[words.text]
+    size = words.end - words.start
+    offsets = np.concatenate([[0], np.cumsum(size + extra[of_word])])
+    body = np.empty(offsets[-1], np.uint8)
+    for code, mark in enumerate(marks):
+        at = offsets[:-1][of_word == code]
+        for k, byte in enumerate(mark):
+            body[at + k] = byte
+    letters = words.data[_INSIDE[words.data]]
+    body[np.arange(len(letters)) + np.repeat(np.cumsum(extra[of_word]), size)] = letters
+    filed = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(body))
+    return filed.cast(pa.string()), words.first
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        filed, first = _filed(batch)
+        terms = pa.ListArray.from_arrays(pa.array(first, pa.int32()), filed)
+        yield pa.RecordBatch.from_arrays([batch.column("grp"), terms], ["grp", "terms"])
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of a slice each of its filed terms is."""
+    for batch in slices(batches, "text", 2 * SLICE_BYTES):
+        filed, first = _filed(batch)
+        coded = filed.dictionary_encode()
+        names = len(coded.dictionary)
+        text = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        once = np.unique(text * max(names, 1) + coded.indices.to_numpy())
+        df = np.bincount(once % max(names, 1), minlength=names)
+        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(df, pa.int64())], ["filed", "df"])
+
+
+def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(grp, lang, source)`` of all that occur, and the rows with ``grp``: a hash that no two of them share."""
+    named = stored(rows.select("lang", "source").distinct(), "groups")
+    salt = 0
+    while True:
+        grp = F.xxhash64("lang", "source", F.lit(salt))
+        groups, numbers = named.select(grp.alias("g")).agg(F.count("*"), F.count_distinct("g")).first()
+        if groups == numbers:
+            return named.withColumn("grp", grp), rows.withColumn("grp", grp)
+        salt += 1
 
 
 def count_terms(docs: DataFrame, min_df: int = 10, slice_terms: int = SLICE_TERMS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -58,30 +93,29 @@ def count_terms(docs: DataFrame, min_df: int = 10, slice_terms: int = SLICE_TERM
     documents of its language hold; ``(grp, term_id, n)`` how often the group has it, where it has it at all.
     """
     spark = docs.sparkSession
-    rows = _documents(docs)
-    groups = stored(rows.select("lang", "source").distinct().withColumn("grp", F.monotonically_increasing_id()), "groups")
-    distinct = rows.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term", 0.02)).first()[0]
-    slices = max(1, math.ceil(1.1 * distinct / slice_terms))
+    rows = docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source"), text_or_empty().alias("text"))
+    groups, rows = _grouped(rows)
+    found = rows.select("lang", "text").mapInArrow(_frequencies, "filed string, df bigint")
+    kept = found.groupBy("filed").agg(F.sum("df").alias("df")).where(F.col("df") >= min_df)
+    kept = stored(kept.select("filed"), "kept")
+    parts = math.ceil(kept.count() / slice_terms)
     vocabulary = spark.createDataFrame([], "term_id bigint, filed string")
     counts = spark.createDataFrame([], "grp bigint, term_id bigint, n bigint")
-    for part in range(slices):
-        own = rows
-        if slices > 1:
-            own = rows.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(slices)) == part))
-        model = _vectorizer(own, min_df)
-        if model is None:
+    for part in range(parts):
+        own = kept.where(F.pmod(F.xxhash64("filed"), F.lit(parts)) == part)
+        if own.isEmpty():
             continue
+        model = CountVectorizer(inputCol="terms", outputCol="vector", vocabSize=MOST_TERMS).fit(own.select(F.array("filed").alias("terms")))
         first = part << 32
-        terms = spark.createDataFrame([(first + i, t) for i, t in enumerate(model.vocabulary)], "term_id bigint, filed string")
-        vocabulary = vocabulary.unionByName(stored(terms, "vocabulary"))
+        terms = model.vocabulary
+        table = spark.createDataFrame(pa.table({"term_id": pa.array(np.arange(len(terms)) + first, pa.int64()), "filed": terms}))
+        vocabulary = vocabulary.unionByName(stored(table, "vocabulary"))
+        vectors = model.transform(rows.select("grp", "lang", "text").mapInArrow(_lists, "grp bigint, terms array<string>"))
         # the stored form of a sparse vector: places and what stands there
         entry = F.unwrap_udt("vector")
-        entries = model.transform(own).select(
-            "lang", "source", F.explode(F.arrays_zip(entry["indices"].alias("place"), entry["values"].alias("n"))).alias("entry")
-        )
-        sums = entries.groupBy("lang", "source", "entry.place").agg(F.sum(F.col("entry.n").cast("bigint")).alias("n"))
-        named = sums.join(groups, ["lang", "source"]).select("grp", (F.col("place") + first).alias("term_id"), "n")
-        counts = counts.unionByName(stored(named, "term-counts"))
+        entries = vectors.select("grp", F.explode(F.arrays_zip(entry["indices"].alias("place"), entry["values"].alias("n"))).alias("entry"))
+        sums = entries.groupBy("grp", "entry.place").agg(F.sum(F.col("entry.n").cast("bigint")).alias("n"))
+        counts = counts.unionByName(stored(sums.select("grp", (F.col("place") + first).alias("term_id"), "n"), "term-counts"))
     # a language may hold the mark itself, a term never does
     term = F.substring_index("filed", _MARK, -1)
     lang = F.substring("filed", F.lit(1), F.length("filed") - F.length(term) - 1)
