@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,11 +36,16 @@ _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
 _MARK = "\x00"
 
 
-def _filed(batch: pa.RecordBatch) -> tuple[pa.StringArray, np.ndarray]:
-    """Language, mark and term of every term in the batch; the terms of text ``i`` are those from ``first[i]`` to ``first[i + 1]``."""
+def _cut(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, list[bytes], np.ndarray]:
+    """The terms of a batch and their letters, the languages with their mark, and the language of each text."""
     words = Words(batch.column("text"), lower=True, inside=_INSIDE)
     langs, lang = np.unique(np.asarray(batch.column("lang").to_pylist(), object).astype(str), return_inverse=True)
-    marks = [np.frombuffer((name + _MARK).encode(), np.uint8) for name in langs]
+    return words, words.data[_INSIDE[words.data]], [(name + _MARK).encode() for name in langs], lang
+
+
+def _filed(batch: pa.RecordBatch) -> tuple[pa.StringArray, np.ndarray]:
+    """Language, mark and term of every term in the batch; the terms of text ``i`` are those from ``first[i]`` to ``first[i + 1]``."""
+    words, letters, marks, lang = _cut(batch)
     extra = np.array([len(m) for m in marks], np.int64)
     of_word = lang[words.text]
     size = words.end - words.start
@@ -49,7 +55,6 @@ def _filed(batch: pa.RecordBatch) -> tuple[pa.StringArray, np.ndarray]:
         at = offsets[:-1][of_word == code]
         for k, byte in enumerate(mark):
             body[at + k] = byte
-    letters = words.data[_INSIDE[words.data]]
     body[np.arange(len(letters)) + np.repeat(np.cumsum(extra[of_word]), size)] = letters
     filed = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(body))
     return filed.cast(pa.string()), words.first
@@ -65,13 +70,18 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In how many texts of a slice each of its filed terms is."""
     for batch in slices(batches, "text", 2 * SLICE_BYTES):
-        filed, first = _filed(batch)
-        coded = filed.dictionary_encode()
-        names = len(coded.dictionary)
-        text = np.repeat(np.arange(batch.num_rows), np.diff(first))
-        once = np.unique(text * max(names, 1) + coded.indices.to_numpy())
-        df = np.bincount(once % max(names, 1), minlength=names)
-        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(df, pa.int64())], ["filed", "df"])
+        words, letters, marks, lang = _cut(batch)
+        offsets = np.concatenate([[0], np.cumsum(words.end - words.start)])
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        names = max(len(coded.dictionary), 1)
+        once = np.sort(words.text * names + coded.indices.to_numpy())
+        once = once[np.diff(once, prepend=-1) > 0]
+        df = np.bincount(lang[once // names] * names + once % names, minlength=len(marks) * names)
+        for code, mark in enumerate(marks):
+            here = df[code * names : (code + 1) * names]
+            some = np.flatnonzero(here)
+            terms = pc.binary_join_element_wise(pa.scalar(mark, pa.large_binary()), coded.dictionary.take(pa.array(some)), pa.scalar(b"", pa.large_binary()))
+            yield pa.RecordBatch.from_arrays([terms.cast(pa.large_string()).cast(pa.string()), pa.array(here[some], pa.int64())], ["filed", "df"])
 
 
 def _grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
