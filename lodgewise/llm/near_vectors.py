@@ -90,16 +90,16 @@ def hits_for(miss: float) -> int:
         k += 1
 
 
-def plan(sample: np.ndarray, n: int, threshold: float = 0.95, recall: float = 0.99, seed: int = 7, cell: int = CELL) -> Plan:
+def plan(sample: np.ndarray, n: int, threshold: float = 0.95, recall: float = 0.99, seed: int = 7, cell: int = CELL, block: int | None = None) -> Plan:
     """The shallowest cells in which ``n`` vectors like the sampled ones meet at most ``cell`` others that are unlike them."""
     miss = (1 - recall) / 2
     dim = sample.shape[1] if sample.size else 1
-    block = int(np.clip((1 << 20) // max(dim, 1), 256, 2048))
+    block = block or int(np.clip((1 << 20) // max(dim, 1), 256, 2048))
     unit = _unit(sample) if sample.size else sample
     depth = 0
     if n > cell and len(unit) > 1:
         a, b = np.triu_indices(len(unit), 1)
-        unlike = np.einsum("ij,ij->i", unit[a], unit[b]) < threshold if len(unit) <= 64 else (unit @ unit.T)[a, b] < threshold
+        unlike = (unit @ unit.T)[a, b] < threshold
         a, b = a[unlike], b[unlike]
         width = _CELL_WIDTH * max(math.sqrt(max(0.0, 2 - 2 * threshold)), 1e-6)
         rng = np.random.default_rng([seed, dim, 1])
@@ -284,7 +284,9 @@ def _dealt(cells: DataFrame, how: Plan) -> DataFrame:
     return rows.select(*_GROUP, F.col("side").cast("int").alias("side"), "node", "n", "embedding", "cells")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, seed: int = 7, cell: int = CELL) -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, seed: int = 7, cell: int = CELL, block: int | None = None
+) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors (vec_id, embedding)``.
 
     Rows whose cosine, in double precision, is at least ``threshold`` are linked. ``n_links`` counts the other rows that a row is
@@ -294,7 +296,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
 
     A vector that is NULL, empty, all zero, or holds a NULL or a non-finite part is linked with nothing; vectors of different
     lengths are not compared. A repeated ``vec_id`` is a vector of its own, a NULL one loses to any other as component id.
-    The cells' depth is fitted on at most 1,024 vectors; every vector is dealt, counted and returned. Other columns are not read.
+    The cells' depth is fitted on at most 1,024 vectors, and ``cell`` and ``block`` say how many meet in a cell and in a task; every vector is dealt, counted and returned. Other columns are not read.
     """
     element = vectors.schema["embedding"].dataType.elementType
     kind = "array<float>" if isinstance(element, T.FloatType) else "array<double>"
@@ -303,7 +305,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     fit = F.col("embedding").isNotNull() & ~F.coalesce(unfit, F.lit(True)) & F.exists("embedding", lambda x: x != 0)
     classes = rows.where(fit).groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    how = _fitted(classes, threshold, recall, seed, cell)
+    how = _fitted(classes, threshold, recall, seed, cell, block)
     cells = classes.select("node", "n", "embedding").mapInArrow(
         _with_cells(how), f"node bigint, n bigint, embedding {kind}, cells array<bigint>"
     )
@@ -331,11 +333,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.
     )
 
 
-def _fitted(classes: DataFrame, threshold: float, recall: float, seed: int, cell: int) -> Plan:
+def _fitted(classes: DataFrame, threshold: float, recall: float, seed: int, cell: int, block: int | None) -> Plan:
     """The plan for these vectors, from their number and the sampled ones of the commonest length."""
     n = classes.count()
     taken = classes.select("embedding").orderBy(F.xxhash64("node", F.lit(seed))).limit(SAMPLE).collect() if n else []
     sizes = [len(r[0]) for r in taken]
     dim = max(set(sizes), key=sizes.count) if sizes else 0
-    sample = np.array([r[0] for r in taken if len(r[0]) == dim], np.float64).reshape(-1, dim)
-    return plan(sample, n, threshold, recall, seed, cell)
+    alike = [r[0] for r in taken if len(r[0]) == dim]
+    sample = np.array(alike, np.float64).reshape(len(alike), dim)
+    return plan(sample, n, threshold, recall, seed, cell, block)
