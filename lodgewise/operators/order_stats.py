@@ -1,9 +1,9 @@
 """Exact order statistics that never sort a table in one task.
 
-A double is placed on a signed logarithmic scale that is cut into 2**bits buckets per e-fold.
-Buckets are monotone in the value and nest: finer ones refine coarser ones. A running total over
-buckets plus one within a bucket is therefore the running total over all values, and a quantile is
-found by counting buckets first and ordering the values of one bucket afterwards.
+For quantiles, a double is placed on a signed logarithmic scale that is cut into 2**bits buckets per e-fold.
+Buckets are monotone in the value and nest: finer ones refine coarser ones. A quantile is found by counting
+buckets first and ordering the values of one bucket afterwards. Running totals take a tree over the bits of a
+double: totals before a node, plus those inside it, down to the single values.
 
 Equal values are summed before they move, so a hot value is one row, and a hot key is spread over
 all its buckets.
@@ -21,7 +21,8 @@ from lodgewise.session import stored
 
 _LOWEST_LOG = 746  # below the logarithm of the smallest positive double
 _FINEST = 28  # at most 34 million doubles share such a bucket
-_TOTALS = 18  # four millionths of a value: a few million buckets per key, few values in each
+_LEVELS, _LEVEL_BITS = 4, 16  # of the tree that running totals are taken in; together the bits of a double
+WINDOW_ROWS = 1 << _LEVEL_BITS
 _QUANTILE_STEPS = (12, 20, 28)  # coarse counts compress well before the shuffle; finer ones if needed
 _LARGE_BUCKET = 5_000_000  # rows
 BUCKET = "_bucket"
@@ -40,55 +41,75 @@ def _earlier(name: str, window) -> Column:
     return F.coalesce(F.sum(name).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
+def image_of(v: Column) -> Column:
+    """A bigint in the order of the double, one for each: its sign, exponent and 52 fraction bits. NULL for NULL.
+
+    Powers of two are exact, so the fraction is. Both zeros are 0, values below the least normal one are counted in its 2**52 steps.
+    """
+    size = F.abs(v)
+    guess = F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double")))
+    scaled = size / F.pow(F.lit(2.0), guess)  # the logarithm may round over a power of two
+    exponent = guess + F.when(scaled < 1, -1).when(scaled >= 2, 1).otherwise(0)
+    exponent = F.greatest(F.lit(-1022.0), exponent)
+    fraction = (size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)
+    normal = F.shiftleft((exponent + 1023).cast("bigint"), 52) + fraction.cast("bigint")
+    tiny = (size * float(2**537) * float(2**537)).cast("bigint")
+    place = F.when(size == float("inf"), F.lit(0x7FF << 52)).when(size < sys.float_info.min, tiny).otherwise(normal)
+    return F.when(v < 0, -place).when(v == 0, F.lit(0).cast("bigint")).otherwise(place)
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, totals: Sequence[str]) -> DataFrame:
     """Running sums over the distinct values of each key, in value order.
 
     One row per key and distinct value that is not NULL or NaN, with for each column ``t`` of ``totals``: its sum
     ``t`` at the value, ``t_before`` over smaller values and ``t_total`` over the key; and
     ``next_value``, the following distinct value.
+
+    Values are filed in a tree of four levels by 16 bits each of their image. Each level has totals of its own, and what
+    lies before a node is added down from its parent, so no window holds more than ``WINDOW_ROWS`` rows, however close
+    or far apart the values are.
     """
     keys = list(keys)
-    # the bucket never is NULL here; said outright, both uses of the points are one shuffle
-    bucket = F.coalesce(bucket_of(F.col(value), _TOTALS), F.lit(0))
     points = (
         df.where(F.col(value).isNotNull() & ~F.isnan(value))
         .groupBy(*keys, value)
         .agg(*[F.sum(t).alias(t) for t in totals])
-        .withColumn(BUCKET, bucket)
+        # the image never is NULL here; said outright, all uses of the points are one shuffle
+        .withColumn(BUCKET, F.coalesce(image_of(F.col(value)), F.lit(0)))
+        .withColumn("_low", F.col(value))
     )
-    in_bucket = Window.partitionBy(*keys, BUCKET).orderBy(value)
-    over_buckets = Window.partitionBy(*keys).orderBy(BUCKET)
-    whole_key = Window.partitionBy(*keys)
-    buckets = (
-        points.groupBy(*keys, BUCKET)
-        .agg(*[F.sum(t).alias(t) for t in totals], F.min(value).alias("_low"))
-        .select(
-            *keys,
-            BUCKET,
-            *[_earlier(t, over_buckets).alias(f"_b_{t}") for t in totals],
-            *[F.sum(t).over(whole_key).alias(f"{t}_total") for t in totals],
-            F.lead("_low").over(over_buckets).alias("_b_next"),
-        )
+    levels = [points]
+    for _ in range(_LEVELS - 1):
+        above = F.shiftright(BUCKET, _LEVEL_BITS).alias(BUCKET)
+        sums = [F.sum(t).alias(t) for t in totals]
+        levels.append(levels[-1].groupBy(*keys, above).agg(*sums, F.min("_low").alias("_low")))
+    whole = Window.partitionBy(*keys)
+    top = whole.orderBy(BUCKET)
+    carried = [x for t in totals for x in (f"{t}_before", f"{t}_total")]
+    placed = levels.pop().select(
+        *keys,
+        BUCKET,
+        *[_earlier(t, top).alias(f"{t}_before") for t in totals],
+        *[F.sum(t).over(whole).alias(f"{t}_total") for t in totals],
+        F.lead("_low").over(top).alias("next_value"),
     )
-    return (
-        points.select(
-            *keys,
-            BUCKET,
-            value,
-            *totals,
-            *[_earlier(t, in_bucket).alias(f"_v_{t}") for t in totals],
-            F.lead(value).over(in_bucket).alias("_v_next"),
+    while levels:
+        level = levels.pop()
+        parent = F.shiftright(BUCKET, _LEVEL_BITS)
+        siblings = Window.partitionBy(*keys, "_parent").orderBy(BUCKET)
+        inside = level.withColumn("_parent", parent).select(
+            "*", *[_earlier(t, siblings).alias(f"_v_{t}") for t in totals], F.lead("_low").over(siblings).alias("_v_next")
         )
-        .join(buckets, [*keys, BUCKET])
-        .select(
+        down = placed.select(*keys, F.col(BUCKET).alias("_parent"), *carried, F.col("next_value"))
+        placed = inside.join(down, [*keys, "_parent"]).select(
             *keys,
-            value,
-            *totals,
-            *[(F.col(f"_v_{t}") + F.col(f"_b_{t}")).alias(f"{t}_before") for t in totals],
+            BUCKET,
+            *([value, *totals] if not levels else []),
+            *[(F.col(f"_v_{t}") + F.col(f"{t}_before")).alias(f"{t}_before") for t in totals],
             *[f"{t}_total" for t in totals],
-            F.coalesce("_v_next", "_b_next").alias("next_value"),
+            F.coalesce("_v_next", "next_value").alias("next_value"),
         )
-    )
+    return placed.select(*keys, value, *totals, *carried, "next_value")
 
 
 def weighted(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:

@@ -73,3 +73,35 @@ def test_buckets_are_monotone_and_nest(spark):
 def test_column_quantiles_skip_gaps(spark):
     df = spark.createDataFrame([(1, None), (2, 5.0), (4, None), (9, 7.0)], "a int, b double")
     assert {r["column"]: r["median"] for r in order_stats.column_medians(df, ["a", "b"]).collect()} == {"a": 3.0, "b": 6.0}
+
+
+def test_images_keep_the_order_of_doubles(spark):
+    values = sorted({*awkward(3000, 5), *(2.0**e for e in range(-1074, 1024)), *(np.nextafter(2.0**e, 0) for e in range(-1070, 1024)), 1.7976931348623157e308})
+    values = [-math.inf, *sorted(-v for v in values if v > 0), *values, math.inf]
+    rows = spark.createDataFrame([(float(v),) for v in sorted(set(values))], "v double").select("v", order_stats.image_of(F.col("v")).alias("i")).collect()
+    for r in rows:
+        bits = int(np.float64(abs(r["v"])).view(np.int64))
+        assert r["i"] == (bits if r["v"] >= 0 else -bits)
+
+
+def window_sizes(plan_rows, key):
+    return plan_rows.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+
+
+@pytest.mark.parametrize("case", ["close together", "over 300 decades"])
+def test_running_totals_stay_in_bounded_windows(spark, case):
+    """A million distinct values in one coarse bucket, and values of every size."""
+    ids = spark.range(0, 1_000_000, 1, 8)
+    if case == "close together":
+        v = F.lit(1.0) + F.col("id") * float(2**-52)
+    else:
+        v = F.pow(F.lit(10.0), F.col("id") / 3333.0 - 150) * F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0)
+    df = ids.select(F.lit("k").alias("k"), v.alias("v"), F.lit(1).cast("bigint").alias("w"))
+    images = df.select(order_stats.image_of(F.col("v")).alias("i")).distinct()
+    for level in range(4):
+        node = images.select(F.shiftright("i", 16 * level).alias("b")).distinct().withColumn("p", F.shiftright("b", 16))
+        assert window_sizes(node, ["p"] if level < 3 else []) <= order_stats.WINDOW_ROWS
+    out = order_stats.running_totals(df, ["k"], "v", ["w"])
+    n = images.count()
+    told = out.agg(F.count("*"), F.sum("w_before"), F.min("w_total"), F.count("next_value"), F.sum((F.col("next_value") > F.col("v")).cast("int"))).first()
+    assert tuple(told)[:1] == (n,) and told[1] == n * (n - 1) // 2 and told[2] == 1_000_000 and told[3] == told[4] == n - 1
