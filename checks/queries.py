@@ -697,11 +697,16 @@ def _(spark, folder):
 
 # models: the published parameters, spaces, trials and folds
 
+#: Whole as well, but longer than a check may take; see README for what was measured.
+LONG_QUERIES: dict[str, Query] = {}
+
 
 def trained(spark, folder, name) -> training.Trained:
+    """One fit with the published parameters and its validation metrics; `cv_summary` is the cross-validation."""
+
     def build():
         _, train, val, _ = vectors(spark, folder)
-        return training.train(name, train, val)
+        return training.train(name, train, val, folds=0)
 
     return _once(spark, folder, f"model_{name}", build)
 
@@ -719,11 +724,11 @@ def _tune_query(name):
     return run
 
 
-for _key, _name in (("model_random_forest", "random_forest"), ("model_gbt", "xgboost"), ("model_mlp", "neural_network")):
-    QUERIES[_key] = _model_query(_name)
-QUERIES["model_gbt_balanced"] = _model_query("lightgbm")
+QUERIES["model_random_forest"] = _model_query("random_forest")
+for _key, _name in (("model_gbt", "xgboost"), ("model_mlp", "neural_network"), ("model_gbt_balanced", "lightgbm")):
+    LONG_QUERIES[_key] = _model_query(_name)
 for _name in models.BUILDERS:
-    QUERIES[f"tune_{_name}"] = _tune_query(_name)
+    LONG_QUERIES[f"tune_{_name}"] = _tune_query(_name)
 
 
 @query("cv_summary")
@@ -743,6 +748,23 @@ def _(spark, folder):
     return _scored_batch(spark, folder)
 
 
+@query("score_batch_facts")
+def _(spark, folder):
+    p = F.col("noshow_prob")
+    facts = {"in_range": p.between(0, 1), "prediction_follows": F.col("prediction") == (p > 0.5).cast("int")}
+    return _scored_batch(spark, folder).withColumns(facts).drop("noshow_prob", "prediction")
+
+
+@query("importance_facts")
+def _(spark, folder):
+    table = trained(spark, folder, "random_forest").importance
+    return table.agg(
+        F.round(F.sum("importance"), 6).alias("total"),
+        F.count_if(F.col("importance") < 0).alias("negative"),
+        (F.count("*") - F.count_distinct("feature")).alias("repeated"),
+    )
+
+
 @query("score_summary")
 def _(spark, folder):
     return scoring.score_summary(_scored_batch(spark, folder))

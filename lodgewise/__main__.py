@@ -41,6 +41,8 @@ def _parser() -> argparse.ArgumentParser:
     assess.add_argument("--runs", help="folder of the run log")
     tune.add_argument("--trials", type=int, default=20)
     retrain.add_argument("--model", default="random_forest")
+    for p in (tune, retrain):
+        p.add_argument("--resume", help="folder of finished trials or forest parts; a stopped job goes on from them")
 
     score = job("score", "score bookings with saved artefacts")
     score.add_argument("--bookings", required=True)
@@ -72,10 +74,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         table.show(truncate=False)
     elif args.job == "tune":
         names = tuple(args.models) if args.models else ("random_forest", "xgboost", "lightgbm")
-        best, _ = training.tune_all(_frame(spark, args.bookings), names, trials=args.trials)
+        best, _ = training.tune_all(_frame(spark, args.bookings), names, trials=args.trials, folder=args.resume)
         print(best.name, best.params, best.results)
     elif args.job == "retrain":
-        done = training.retrain(_frame(spark, args.bookings), args.model, args.output, folds=args.folds)
+        done = training.retrain(_frame(spark, args.bookings), args.model, args.output, folds=args.folds, folder=args.resume)
         print(done.name, done.results)
     elif args.job == "score":
         raw = tables.register(_frame(spark, args.bookings))

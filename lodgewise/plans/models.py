@@ -10,9 +10,10 @@ import random
 from collections.abc import Callable
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 
 from lodgewise.operators.encode import FEATURES
+from lodgewise.plans.forest import ForestClassifier
 from lodgewise.schema import ROLES, SEED, ModelDefaults
 
 WEIGHT = "weight"
@@ -31,14 +32,20 @@ def _subset(value) -> str:
     return str(value)
 
 
+def _depth(p: dict) -> int:
+    if p["max_depth"] > _MAX_DEPTH:
+        raise ValueError(f"max_depth {p['max_depth']} is beyond {_MAX_DEPTH}, the deepest tree that can be grown")
+    return p["max_depth"]
+
+
 def _random_forest(p: dict, n_inputs: int) -> Estimator:
-    return RandomForestClassifier(
+    return ForestClassifier(
         featuresCol=FEATURES,
         labelCol=ROLES.target,
         weightCol=WEIGHT,
         seed=SEED,
         numTrees=p["n_estimators"],
-        maxDepth=min(p["max_depth"], _MAX_DEPTH),
+        maxDepth=_depth(p),
         minInstancesPerNode=p.get("min_samples_leaf", 1),
         featureSubsetStrategy=_subset(p.get("max_features", "sqrt")),
     )
@@ -51,7 +58,7 @@ def _boosted(p: dict, leaf: str) -> Estimator:
         weightCol=WEIGHT,
         seed=SEED,
         maxIter=p["n_estimators"],
-        maxDepth=min(p["max_depth"], _MAX_DEPTH),
+        maxDepth=_depth(p),
         stepSize=p["learning_rate"],
         subsamplingRate=p.get("subsample", 1.0),
         featureSubsetStrategy=_subset(p.get("colsample_bytree", "all")),
@@ -93,7 +100,7 @@ def defaults(name: str) -> dict:
 
 def _known(name: str) -> None:
     if name not in BUILDERS:
-        raise ValueError(f"Unknown model type: {name}. Available: {', '.join(BUILDERS)}")
+        raise ValueError(f"no model is called {name!r}; there are {', '.join(BUILDERS)}")
 
 
 def build(name: str, params: dict | None = None, n_inputs: int = 0) -> Estimator:
@@ -116,6 +123,7 @@ SPACES: dict[str, dict[str, tuple]] = {
         "min_samples_split": ("int", 2, 20),
         "min_samples_leaf": ("int", 1, 10),
         "max_features": ("choice", ["sqrt", "log2", 0.8]),
+        "class_weight": ("choice", ["balanced", "balanced_subsample"]),
     },
     "xgboost": {
         "n_estimators": ("int", 100, 1500),
@@ -124,6 +132,7 @@ SPACES: dict[str, dict[str, tuple]] = {
         "subsample": ("float", 0.5, 1.0),
         "colsample_bytree": ("float", 0.5, 1.0),
         "min_child_weight": ("int", 1, 15),
+        "scale_pos_weight": ("float", 1.0, 10.0),
     },
     "lightgbm": {
         "n_estimators": ("int", 100, 1500),

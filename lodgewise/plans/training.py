@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import random
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass, field
+from statistics import fmean, pstdev
 
-from pyspark.ml import PipelineModel
+from pyspark.errors import AnalysisException
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +18,13 @@ from lodgewise.operators import evaluate
 from lodgewise.operators.encode import FEATURES, Preprocessor, feature_names
 from lodgewise.operators.runs import RunLog
 from lodgewise.operators.split import kfold, named, stratified_split, with_weights
-from lodgewise.plans import models
+from lodgewise.plans import forest, models
 from lodgewise.schema import CV_FOLDS, ROLES, SEED
 from lodgewise.session import stored
 from lodgewise.sources.tables import canonical, write_json
 
+TRIALS = "trial int, fold int, roc_auc double, params string"
+
 
 @dataclass
 class Trained:
@@ -40,7 +44,7 @@ class Trained:
 
 def evaluator() -> BinaryClassificationEvaluator:
     """ROC-AUC over every distinct score; the default would bin the scores."""
-    return BinaryClassificationEvaluator(labelCol=ROLES.target, numBins=0)
+    return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol=ROLES.target, numBins=0)
 
 
 def weighted(vectors: DataFrame, name: str, params: dict | None = None) -> DataFrame:
@@ -86,43 +90,101 @@ def top_importance(table: DataFrame, n: int | None = None) -> DataFrame:
 
 def cross_validate(name: str, params: dict, vectors: DataFrame, folds: int = CV_FOLDS) -> tuple[float, float]:
     """Mean and deviation of ROC-AUC over stratified folds."""
-    fitted = _search(name, [params], vectors, folds)
-    return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
+    found = search(name, [params], vectors, folds)
+    return mean_and_deviation([auc for _, _, auc in found])
+
+
+def mean_and_deviation(values: list[float]) -> tuple[float, float]:
+    return fmean(values), pstdev(values)
+
+
+def _params_text(params: dict) -> str:
+    return json.dumps(params, sort_keys=True, default=str)
 
 
-def _search(name: str, points: list[dict], vectors: DataFrame, folds: int, parallelism: int = 2):
+def _trials(spark: SparkSession, folder: str | None) -> dict[tuple[int, int, str], float]:
+    """Finished (trial, fold) pairs, by their parameters too."""
+    if folder is None:
+        return {}
+    try:
+        rows = spark.read.schema(TRIALS).parquet(f"{folder}/trials").collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return {(r["trial"], r["fold"], r["params"]): r["roc_auc"] for r in rows}
+
+
+def search(
+    name: str, points: list[dict], vectors: DataFrame, folds: int, folder: str | None = None, parallel: int = 2
+) -> list[tuple[int, int, float]]:
+    """Out-of-fold ROC-AUC of every point and fold: ``(trial, fold, roc_auc)``.
+
+    Folds are stored once and classes are weighed anew for each point, on the rows it is fitted on. With a ``folder``,
+    each finished pair is entered in a table there, and a later search of the same points goes on with those that are missing.
+    """
+    spark = vectors.sparkSession
+    slots = vectors.schema[FEATURES].metadata
+    data = stored(kfold(vectors, folds), "folds").withMetadata(FEATURES, slots)
     n_inputs = len(feature_names(vectors))
-    base = models.build(name, points[0], n_inputs)
-    grid = [dict(models.build(name, p, n_inputs).extractParamMap()) for p in points]
-    # the grid must name the parameters of the estimator that is validated
-    grid = [{base.getParam(k.name): v for k, v in g.items()} for g in grid]
-    data = kfold(weighted(vectors, name, points[0]), folds)
-    search = CrossValidator(
-        estimator=base,
-        estimatorParamMaps=grid or ParamGridBuilder().build(),
-        evaluator=evaluator(),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=SEED,
-    )
-    return search.fit(data)
+    known = _trials(spark, folder)
+    done = {(t, f): known[t, f, _params_text(p)] for t, p in enumerate(points) for f in range(folds) if (t, f, _params_text(p)) in known}
+
+    def one(trial: int, fold: int) -> float:
+        point = points[trial]
+        fitted = models.build(name, point, n_inputs).fit(weighted(data.where(F.col("fold") != fold), name, point))
+        return float(evaluator().evaluate(scores(fitted, data.where(F.col("fold") == fold), name)))
+
+    open_ = [(t, f) for t in range(len(points)) for f in range(folds) if (t, f) not in done]
+    with ThreadPoolExecutor(parallel) as pool:
+        running = {pool.submit(one, *pair): pair for pair in open_}
+        try:
+            for future in as_completed(running):
+                trial, fold = running[future]
+                done[trial, fold] = future.result()
+                if folder is not None:  # one thread appends, so no two jobs write the table at once
+                    row = (trial, fold, done[trial, fold], _params_text(points[trial]))
+                    spark.createDataFrame([row], TRIALS).coalesce(1).write.mode("append").parquet(f"{folder}/trials")
+        except BaseException:
+            for future in running:
+                future.cancel()
+            raise
+    return [(t, f, auc) for (t, f), auc in sorted(done.items())]
+
+
+def data_id(vectors: DataFrame) -> str:
+    """Tells one set of training rows from another: their number and a sum over what they hold."""
+    n, mark = vectors.agg(F.count("*"), F.sum(F.xxhash64(*vectors.columns).cast("decimal(38,0)"))).first()
+    return f"{n}-{mark}"
+
+
+def fit(name: str, params: dict, vectors: DataFrame, folder: str | None = None):
+    """A classifier fitted on weighed rows. With a ``folder``, a forest keeps its finished parts there and goes on from them."""
+    rows = weighted(vectors, name, params)
+    estimator = models.build(name, params, len(feature_names(vectors)))
+    if folder is not None and isinstance(estimator, forest.ForestClassifier):
+        estimator.restartable(folder, data_id(rows))
+    return estimator.fit(rows)
 
 
 def train(
-    name: str, train_vectors: DataFrame, val_vectors: DataFrame, params: dict | None = None, folds: int = CV_FOLDS
+    name: str,
+    train_vectors: DataFrame,
+    val_vectors: DataFrame,
+    params: dict | None = None,
+    folds: int = CV_FOLDS,
+    folder: str | None = None,
 ) -> Trained:
     """Cross-validate on train (not with 0 ``folds``, nor the network), fit on train, evaluate on validation."""
     folds = 0 if name == "neural_network" else folds
     full = {**models.defaults(name), **(params or {})}
-    names = feature_names(train_vectors)
     extra: dict = {}
     if folds:
         extra["cv_roc_auc_mean"], extra["cv_roc_auc_std"] = cross_validate(name, full, train_vectors, folds)
-    model = models.build(name, full, len(names)).fit(weighted(train_vectors, name, full))
+    model = fit(name, full, train_vectors, folder)
     table = evaluate.all_metrics(scores(model, val_vectors, name)).first()
     metrics = {m: table[m] for m in evaluate.METRICS}
-    return Trained(name, full, model, metrics, importance(train_vectors.sparkSession, model, names), extra)
+    return Trained(name, full, model, metrics, importance(train_vectors.sparkSession, model, feature_names(train_vectors)), extra)
 
 
 def tune(
@@ -133,15 +195,19 @@ def tune(
     space: dict[str, tuple] | None = None,
     fixed: dict | None = None,
     seed: int = SEED,
+    folder: str | None = None,
 ) -> tuple[dict, float, DataFrame]:
-    """Random search by cross-validated ROC-AUC: best parameters, best score, trial table."""
+    """Random search by cross-validated ROC-AUC: best parameters, best score, trial table.
+
+    With a ``folder`` a search that was stopped goes on after the last finished (trial, fold); see `search`.
+    """
     rng = random.Random(seed)
     points = [{**models.draw(name, rng, space), **(fixed or {})} for _ in range(trials)]
-    fitted = _search(name, points, vectors, folds)
-    rows = [
-        (i, float(mean), float(std), {k: str(v) for k, v in p.items()})
-        for i, (p, mean, std) in enumerate(zip(points, fitted.avgMetrics, fitted.stdMetrics))
-    ]
+    found = search(name, points, vectors, folds, folder)
+    rows = []
+    for i, p in enumerate(points):
+        mean, std = mean_and_deviation([auc for trial, _, auc in found if trial == i])
+        rows.append((i, mean, std, {k: str(v) for k, v in p.items()}))
     table = vectors.sparkSession.createDataFrame(
         rows, "trial int, cv_roc_auc_mean double, cv_roc_auc_std double, params map<string,string>"
     )
@@ -219,19 +285,16 @@ def tune_all(
     return max(done, key=lambda t: t.metrics["roc_auc"] or 0.0), results_long(raw.sparkSession, done)
 
 
-def retrain(raw: DataFrame, name: str, output: str, params: dict | None = None, folds: int = CV_FOLDS) -> Trained:
+def retrain(
+    raw: DataFrame, name: str, output: str, params: dict | None = None, folds: int = CV_FOLDS, folder: str | None = None
+) -> Trained:
     """Refit the champion and save what scoring needs: preprocessor, model and metrics."""
     fitted, train_vectors, val_vectors, _ = prepared(raw)
-    done = train(name, train_vectors, val_vectors, params, folds)
+    done = train(name, train_vectors, val_vectors, params, folds, folder)
     fitted.save(f"{output}/preprocessor")
     save_model(done.model, f"{output}/model")
     write_json(results_long(raw.sparkSession, [done]), f"{output}/metrics", "overwrite")
     return done
 
 
-def save_model(model, path: str) -> None:
-    PipelineModel([model]).write().overwrite().save(path)
-
-
-def load_model(path: str):
-    return PipelineModel.load(path).stages[0]
+save_model, load_model = forest.save, forest.load

@@ -23,13 +23,15 @@ def fitted(clean_bookings):
 
 
 def test_unknown_models_are_refused():
-    with pytest.raises(ValueError, match="Unknown model type"):
+    with pytest.raises(ValueError, match="no model is called"):
         models.build("tabnet")
 
 
-def test_parameters_reach_the_estimators():
-    forest = models.build("random_forest", {"max_depth": 99})
-    assert forest.getMaxDepth() == 30 and forest.getNumTrees() == 563 and forest.getFeatureSubsetStrategy() == "0.8"
+def test_parameters_reach_the_estimators(spark):
+    with pytest.raises(ValueError, match="max_depth 99"):
+        models.build("random_forest", {"max_depth": 99})
+    forest = models.build("random_forest")
+    assert forest.getMaxDepth() == 22 and forest.getNumTrees() == 563 and forest.getFeatureSubsetStrategy() == "0.8"
     assert models.build("lightgbm").getMinInstancesPerNode() == 5
     tuned = {"n_layers": 2, "n_units_l0": 7, "n_units_l1": 3}
     assert models.build("neural_network", tuned, 5).getLayers() == [5, 7, 3, 2]
@@ -149,34 +151,124 @@ def test_weights_follow_the_model(spark):
 
 
 def test_registered_models_are_the_published_ones(spark, monkeypatch):
-    from types import SimpleNamespace
-
     from checks import queries
 
     fits, searches = {}, []
 
     def fit(name, train, val, params=None, folds=CV_FOLDS):
-        fits[name] = {**models.defaults(name), **(params or {})}, folds
+        fits[name] = {**models.defaults(name), **(params or {})}
         return training.Trained(name, {}, None, {}, None)
 
-    def search(name, points, vectors, folds):
+    def search(name, points, vectors, folds, folder=None):
         searches.append((name, points, folds))
-        return SimpleNamespace(avgMetrics=[0.5] * len(points), stdMetrics=[0.1] * len(points))
+        return [(t, f, 0.5) for t in range(len(points)) for f in range(folds)]
 
     monkeypatch.setattr(queries, "vectors", lambda spark, folder: (None, spark.range(0), None, None))
     monkeypatch.setattr(training, "train", fit)
-    monkeypatch.setattr(training, "_search", search)
+    monkeypatch.setattr(training, "search", search)
+    every = queries.QUERIES | queries.LONG_QUERIES
     for key in ("model_random_forest", "model_gbt", "model_gbt_balanced", "model_mlp", "cv_summary"):
-        queries.QUERIES[key](spark, "published")
+        every[key](spark, "published")
     for name in models.BUILDERS:
-        assert fits[name] == (models.defaults(name), CV_FOLDS)
-        queries.QUERIES[f"tune_{name}"](spark, "published")
+        assert fits[name] == models.defaults(name)
+        every[f"tune_{name}"](spark, "published")
     assert searches[0] == ("random_forest", [models.defaults("random_forest")], CV_FOLDS)
     for name, points, folds in searches[1:]:
         rng = random.Random(SEED)
         assert points == [models.draw(name, rng) for _ in range(50)] and folds == CV_FOLDS
 
 
+def test_forest_of_parts_is_one_model(fitted, spark, tmp_path):
+    _, train, val, _ = fitted
+    params = {**models.defaults("random_forest"), "n_estimators": 11, "max_depth": 4}
+    estimator = models.build("random_forest", params)
+    estimator.part_trees = 4
+    model = estimator.fit(training.weighted(train, "random_forest"))
+    assert [p.getNumTrees for p in model.parts] == [4, 4, 3] and model.trees == 11
+    # every tree votes once, whichever part it is in
+    from pyspark.ml.functions import vector_to_array
+
+    trees = [t for p in model.parts for t in p.trees]
+    assert len({t.toDebugString.split("\n", 1)[1] for t in trees}) > 8
+    out = val
+    for i, t in enumerate(trees):
+        out = t.setProbabilityCol(f"t{i}").setRawPredictionCol("").setPredictionCol("").transform(out)
+    mean = sum(vector_to_array(f"t{i}")[1] for i in range(11)) / 11
+    pairs = model.transform(out.withColumn("mean", mean)).select("mean", vector_to_array("probability")[1], "prediction").collect()
+    assert pairs and all(abs(a - b) < 1e-9 and (p == 1.0) == (b > 0.5) for a, b, p in pairs)
+    assert abs(sum(model.featureImportances.toArray()) - 1) < 1e-9
+    training.save_model(model, str(tmp_path / "forest"))
+    again = training.load_model(str(tmp_path / "forest"))
+    key = lambda m: {r["booking_id"]: r["score"] for r in training.scores(m, val, "rf").collect()}
+    assert again.trees == 11 and key(again) == key(model)
+
+
+def test_stopped_forest_goes_on_from_its_parts(fitted, spark, tmp_path, monkeypatch):
+    from lodgewise.plans.forest import ForestClassifier
+
+    _, train, val, _ = fitted
+    params = {**models.defaults("random_forest"), "n_estimators": 9, "max_depth": 3}
+    rows = training.weighted(train, "random_forest")
+    real, fitted_parts = ForestClassifier._part, []
+
+    def build():
+        return models.build("random_forest", params).restartable(str(tmp_path / "fit"), training.data_id(rows), 3)
+
+    def failing(self, data, part, trees):
+        if part == 2 and len(fitted_parts) < 3:
+            raise RuntimeError("stopped")
+        fitted_parts.append(part)
+        return real(self, data, part, trees)
+
+    monkeypatch.setattr(ForestClassifier, "_part", failing)
+    monkeypatch.setattr(ForestClassifier, "parallel", 1)
+    with pytest.raises(RuntimeError, match="stopped"):
+        build().fit(rows)
+    assert fitted_parts == [0, 1]
+    fitted_parts.append("again")
+    resumed = build().fit(rows)
+    assert fitted_parts == [0, 1, "again", 2] and resumed.trees == 9
+    monkeypatch.setattr(ForestClassifier, "_part", real)
+    whole = models.build("random_forest", params)
+    whole.part_trees = 3
+    a, b = (sorted(training.scores(m, val, "rf").collect()) for m in (resumed, whole.fit(rows)))
+    assert a == b
+    # other rows or parameters start anew
+    other = models.build("random_forest", {**params, "max_depth": 2}).restartable(str(tmp_path / "fit"), training.data_id(rows), 3)
+    assert other._finished(rows) == set()
+
+
+def test_stopped_search_goes_on(fitted, tmp_path, monkeypatch):
+    _, train, _, _ = fitted
+    points = [{"n_estimators": n, "max_depth": 2, "class_weight": "balanced"} for n in (2, 3)]
+    real, calls = models.build, []
+
+    def build(name, params=None, n_inputs=0):
+        calls.append(params["n_estimators"])
+        if len(calls) == 4:
+            raise RuntimeError("stopped")
+        return real(name, params, n_inputs)
+
+    monkeypatch.setattr(models, "build", build)
+    folder = str(tmp_path / "search")
+    with pytest.raises(RuntimeError, match="stopped"):
+        training.search("random_forest", points, train, 2, folder, parallel=1)
+    found = training.search("random_forest", points, train, 2, folder, parallel=1)
+    assert calls == [2, 2, 3, 3, 3] and [(t, f) for t, f, _ in found] == [(0, 0), (0, 1), (1, 0), (1, 1)]
+    assert found == training.search("random_forest", points, train, 2, folder) and len(calls) == 5
+    assert all(0 <= auc <= 1 for _, _, auc in found)
+
+
+def test_each_trial_has_weights_of_its_own(fitted, monkeypatch):
+    _, train, _, _ = fitted
+    seen = []
+    real = training.weighted
+    monkeypatch.setattr(training, "weighted", lambda v, n, p=None: seen.append(p["scale_pos_weight"]) or real(v, n, p))
+    points = [{"n_estimators": 1, "max_depth": 2, "learning_rate": 0.1, "scale_pos_weight": w} for w in (2.0, 9.0)]
+    training.search("xgboost", points, train, 2)
+    assert sorted(seen) == [2.0, 2.0, 9.0, 9.0]
+
+
 def test_jobs_cross_validate_unless_told_otherwise():
     from lodgewise.__main__ import _parser
 
