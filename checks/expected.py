@@ -559,5 +559,7 @@ model = (SELECT model FROM met ORDER BY roc_auc DESC, model LIMIT 1) AS is_best
 )
 
 # a fit is not repeatable in SQL, what must hold of any fit is
-SQL["score_batch_facts"] = sql(f"SELECT {PLAIN}, TRUE AS in_range, TRUE AS prediction_follows FROM bookings")
+SQL["score_batch_facts"] = sql(
+    f"SELECT {PLAIN}, TRUE AS in_range, TRUE AS prediction_follows FROM bookings".replace("no_show", "no_show::VARCHAR AS no_show")
+)
 SQL["importance_facts"] = "SELECT 1.0::DOUBLE AS total, 0::BIGINT AS negative, 0::BIGINT AS repeated"

@@ -752,6 +752,7 @@ def _(spark, folder):
 def _(spark, folder):
     p = F.col("noshow_prob")
     facts = {"in_range": p.between(0, 1), "prediction_follows": F.col("prediction") == (p > 0.5).cast("int")}
+    facts[ROLES.target] = F.col(ROLES.target).cast("string")
     return _scored_batch(spark, folder).withColumns(facts).drop("noshow_prob", "prediction")
 
 
