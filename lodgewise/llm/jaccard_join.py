@@ -49,9 +49,20 @@ class Bands:
         # a set of the band is compared with equal or larger ones, up to this size
         self.reach = np.array([int(h / threshold) for h in high.tolist()], np.int64)
         self.differ = np.array([int(share * (h + r)) for h, r in zip(high.tolist(), self.reach.tolist())], np.int64)
-        self.spare = 1 + self.differ // 20
+        self.spare = np.array([self._spare(*x) for x in zip(self.low.tolist(), self.differ.tolist())], np.int64)
         self.blocks = self.differ + 1 + self.spare
 
+    @staticmethod
+    def _spare(low: int, differ: int) -> int:
+        """As many blocks to spare as the least sets of a band leave empty, and one deviation more, so that few deal twice."""
+        spare = 1 + differ // 20
+        while True:
+            blocks = differ + 1 + spare
+            empty = blocks * (1 - 1 / blocks) ** low
+            if spare >= int(empty + empty**0.5):
+                return spare
+            spare += 1
+
     def of(self, size: np.ndarray) -> Iterator[np.ndarray]:
         """The bands that sets of these sizes belong to, one after the other; -1 where there is no further one."""
         band = np.searchsorted(self.low, size, side="right") - 1

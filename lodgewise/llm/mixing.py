@@ -81,19 +81,33 @@ def allot(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5,
     the hash of their id, then size, then the text's hash: reruns agree, and repeated rows share what they get.
     Columns of these names, and any named like ``_place``, are replaced.
     """
-    own = ["size", "source_size", "target", "taken", "laid", "start", "end", "_place"]
-    kept = docs.drop(*own).withColumn("size", word_count())
-    dealt = stored(targets(kept.select("source", "size"), cycle, share, most), "targets")  # one row per source
+    own = ["size", "source_size", "target", "taken", "laid", "start", "end", "_place", "_hash"]
+    rows = docs.drop(*own).withColumns(_measures())
+    return _placed(rows, _measured(docs), cycle, share, most).drop("_hash")
+
+
+def _measures() -> dict[str, Column]:
+    """What lays a document out: its words, the hash of its id, and that of its text."""
     place = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    kept = kept.withColumn("_place", F.struct(F.substring(place, 1, 3).alias("bucket"), place.alias("place")))
-    kept = kept.withColumn("_source", F.col("source")).withColumn("_bucket", F.col("_place.bucket"))
-    sums = kept.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
-    until = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(until), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_place.place", "size", F.xxhash64(text_or_empty()))
-    laid = kept.withColumn("_inside", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return {"size": word_count(), "_place": place, "_hash": F.xxhash64(text_or_empty())}
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """The documents without their texts; the texts are read once for all that counts words alone."""
+    measures = [value.alias(name) for name, value in _measures().items()]
+    return stored(docs.select("doc_id", "source", *measures), "measured")
+
+
+def _placed(rows: DataFrame, measured: DataFrame, cycle: tuple[Ramp, ...], share: float, most: float) -> DataFrame:
+    """The columns of `allot` for rows that have their measures; what is joined to them is stored, so that its size is known."""
+    bucket = F.substring("_place", 1, 3)
+    dealt = stored(targets(measured.select("source", "size"), cycle, share, most), "targets")  # one row per source
+    sums = measured.groupBy(F.col("source").alias("_s"), bucket.alias("_b")).agg(F.sum("size").alias("_sum"))
+    until = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored(sums.select("_s", "_b", F.coalesce(F.sum("_sum").over(until), F.lit(0)).alias("_before")), "offsets")
+    rows = rows.withColumns({"_source": F.col("source"), "_bucket": bucket})
+    inside = Window.partitionBy("_source", "_bucket").orderBy("_place", "size", "_hash")
+    laid = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     joined = laid.join(offsets, (F.col("_b") == F.col("_bucket")) & F.col("_s").eqNullSafe(F.col("_source"))).withColumn(
         "laid", F.col("_before") + F.col("_inside")
     )
@@ -118,7 +132,10 @@ def first_position() -> Column:
 
 def copies(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of `mix` with the columns of `allot`, ``_copy``, ``_words`` (that the copy has) and ``_at`` (its position)."""
-    told = allot(docs, cycle, share, most)
+    return _copies(allot(docs, cycle, share, most))
+
+
+def _copies(told: DataFrame) -> DataFrame:
     words = F.col("_words")
     copies = F.greatest(F.lit(1), F.ceil(F.col("taken") / F.greatest(F.lit(1), F.col("size")))).cast("int")
     told = told.filter((F.col("taken") > 0) | (F.col("size") == 0))
@@ -132,9 +149,11 @@ def copies(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5,
 
 
 def tally(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """As `allot`, without texts, but ``taken`` counts the words of the sorted copies: of each row of ``docs``, 0 without copies."""
+    """``doc_id``, ``source`` and the columns of `allot`, but ``taken`` counts the words of the sorted copies: of each row of ``docs``, 0 without copies."""
     key = ["doc_id", "source", "size", "laid"]
-    mixed = copies(docs, cycle, share, most).select(*[F.col(c).alias(f"_{c}") for c in key], "text")
+    measured = _measured(docs)
+    rows = docs.select("doc_id", "source", "text").withColumns(_measures())
+    mixed = _copies(_placed(rows, measured, cycle, share, most)).select(*[F.col(c).alias(f"_{c}") for c in key], "text")
     columns = [f"_{c}" for c in key]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +164,7 @@ def tally(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5,
     # a plain aggregate would let Spark leave out the sort
     emitted = mixed.mapInArrow(counted, StructType([*mixed.schema.fields[:-1], StructField("_n", LongType())]))
     emitted = emitted.groupBy(*columns).agg(F.sum("_n").alias("_taken"))
-    told = allot(docs, cycle, share, most).drop("taken", "text")
+    told = _placed(measured, measured, cycle, share, most).drop("taken", "_hash")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
     joined = told.join(emitted, same, "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long"))
     return joined.drop("_taken", *columns)

@@ -143,11 +143,15 @@ def features(before: str, word: str, after: str) -> list[int]:
 
 
 _N_FEATURES = 10
+_WORDS_AT_ONCE = 20_000
 
 
 def scores(field: Field, rows: np.ndarray) -> np.ndarray:
     """Word scores per label: rows of feature numbers to rows of labels."""
-    return field.emit[rows].sum(1) if len(rows) else np.zeros((0, LABELS))
+    out = np.zeros((len(rows), LABELS))
+    for k in range(_N_FEATURES if len(rows) else 0):  # one feature after the other, in one array
+        out += field.emit[rows[:, k]]
+    return out
 
 
 def viterbi(score: np.ndarray, first: np.ndarray, size: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -313,8 +317,26 @@ def field_spans(field: Field, words: Words) -> dict[int, list[Span]]:
             return ""
         return words.bytes_of(i)[:400].decode("utf-8", "replace")
 
-    rows = np.array([features(word(i - 1, t), word(i, t), word(i + 1, t)) for i, t in zip(told.tolist(), text_of.tolist())])
-    labels = viterbi(scores(field, rows), first, size, field.step)
+    # neighbours count up to the ends of the text; words that stand alike have the same scores
+    hashes = words.hashes()
+    before = np.where(told > words.first[text_of], hashes[np.maximum(told - 1, 0)], np.uint64(0))
+    after = np.where(told + 1 < words.first[text_of + 1], hashes[np.minimum(told + 1, len(words) - 1)], np.uint64(0))
+    alike = mix(mix(mix(before) + hashes[told]) + after)
+    del hashes, before, after
+    labels = np.empty(len(told), np.int64)
+    low = 0
+    while low < len(first):  # whole chains, of so many words together or one that is longer
+        high = max(low + 1, int(np.searchsorted(first, first[low] + _WORDS_AT_ONCE, side="right")) - 1)
+        high = len(first) if first[-1] + size[-1] - first[low] <= _WORDS_AT_ONCE else high
+        begin, end = int(first[low]), int(first[high - 1] + size[high - 1])
+        _, sample, which = np.unique(alike[begin:end], return_index=True, return_inverse=True)
+        score = np.empty((len(sample), LABELS))
+        for at in range(0, len(sample), _WORDS_AT_ONCE):
+            some = zip(told[begin + sample[at : at + _WORDS_AT_ONCE]].tolist(), text_of[begin + sample[at : at + _WORDS_AT_ONCE]].tolist())
+            rows = np.array([features(word(i - 1, t), word(i, t), word(i + 1, t)) for i, t in some], np.int32)
+            score[at : at + len(rows)] = scores(field, rows)
+        labels[begin:end] = viterbi(score[which], first[low:high] - begin, size[low:high], field.step)
+        low = high
     points = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
     out: dict[int, list[Span]] = {}
     at = 0
