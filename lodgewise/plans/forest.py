@@ -19,9 +19,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodgewise.plans.boosting import Boosted
+from lodgewise.session import exists
+
 PART_TREES = 40
 PARALLEL_PARTS = 8
 TASK_ROWS = 50_000  # fewer rows than this are not worth a task of their own in each of the many short stages
@@ -130,11 +133,17 @@ class ForestClassifier(RandomForestClassifier):
 
 
 def save(model, path: str) -> None:
-    """A forest by its parts, any other model as it is."""
+    """A forest by its parts, boosted trees by their cuts and rounds, any other model as it is."""
+    if isinstance(model, Boosted):
+        model.save(path)
+        return
     stages = model.stages() if isinstance(model, Forest) else [model]
     PipelineModel(stages).write().overwrite().save(path)
 
 
 def load(path: str):
+    spark = SparkSession.getActiveSession()
+    if not exists(spark, f"{path}/metadata"):
+        return Boosted.load(spark, path)
     stages = PipelineModel.load(path).stages
     return Forest(stages) if isinstance(stages[0], RandomForestClassificationModel) else stages[0]

@@ -10,9 +10,10 @@ import random
 from collections.abc import Callable
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 
 from lodgewise.operators.encode import FEATURES
+from lodgewise.plans.boosting import BoostedClassifier
 from lodgewise.plans.forest import ForestClassifier
 from lodgewise.schema import ROLES, SEED, ModelDefaults
 
@@ -51,19 +52,15 @@ def _random_forest(p: dict, n_inputs: int) -> Estimator:
     )
 
 
-def _boosted(p: dict, leaf: str) -> Estimator:
-    return GBTClassifier(
-        featuresCol=FEATURES,
-        labelCol=ROLES.target,
-        weightCol=WEIGHT,
-        seed=SEED,
-        maxIter=p["n_estimators"],
-        maxDepth=_depth(p),
-        stepSize=p["learning_rate"],
-        subsamplingRate=p.get("subsample", 1.0),
-        featureSubsetStrategy=_subset(p.get("colsample_bytree", "all")),
-        minInstancesPerNode=p.get(leaf, 1),
-    )
+# What a boosted model takes where its parameters don't say.
+_BOOSTED = {
+    "xgboost": {"learning_rate": 0.3, "max_depth": 6, "min_child_weight": 1.0, "reg_lambda": 1.0},
+    "lightgbm": {"num_leaves": 31, "min_child_weight": 0.001, "min_child_samples": 20},
+}
+
+
+def _boosted(name: str, p: dict) -> BoostedClassifier:
+    return BoostedClassifier({**_BOOSTED[name], **p, "max_depth": _depth(p)}, FEATURES, ROLES.target, WEIGHT, SEED)
 
 
 def hidden_layers(p: dict) -> list[int]:
@@ -85,10 +82,10 @@ def _perceptron(p: dict, n_inputs: int) -> Estimator:
     )
 
 
-BUILDERS: dict[str, Callable[[dict, int], Estimator]] = {
+BUILDERS: dict[str, Callable[[dict, int], Estimator | BoostedClassifier]] = {
     "random_forest": _random_forest,
-    "xgboost": lambda p, n: _boosted(p, "min_child_weight"),
-    "lightgbm": lambda p, n: _boosted(p, "min_child_samples"),
+    "xgboost": lambda p, n: _boosted("xgboost", p),
+    "lightgbm": lambda p, n: _boosted("lightgbm", p),
     "neural_network": _perceptron,
 }
 
@@ -103,7 +100,7 @@ def _known(name: str) -> None:
         raise ValueError(f"no model is called {name!r}; there are {', '.join(BUILDERS)}")
 
 
-def build(name: str, params: dict | None = None, n_inputs: int = 0) -> Estimator:
+def build(name: str, params: dict | None = None, n_inputs: int = 0) -> Estimator | BoostedClassifier:
     """An unfitted classifier; ``n_inputs`` is the vector length, which only the network needs."""
     _known(name)
     return BUILDERS[name]({**defaults(name), **(params or {})}, n_inputs)
@@ -132,15 +129,21 @@ SPACES: dict[str, dict[str, tuple]] = {
         "subsample": ("float", 0.5, 1.0),
         "colsample_bytree": ("float", 0.5, 1.0),
         "min_child_weight": ("int", 1, 15),
+        "gamma": ("float", 0.0, 0.5),
+        "reg_alpha": ("log", 1e-8, 100.0),
+        "reg_lambda": ("log", 1e-8, 100.0),
         "scale_pos_weight": ("float", 1.0, 10.0),
     },
     "lightgbm": {
         "n_estimators": ("int", 100, 1500),
         "max_depth": ("int", 5, 15),
         "learning_rate": ("log", 0.005, 0.3),
+        "num_leaves": ("int", 20, 300),
         "subsample": ("float", 0.5, 1.0),
         "colsample_bytree": ("float", 0.5, 1.0),
         "min_child_samples": ("int", 5, 100),
+        "reg_alpha": ("log", 1e-8, 10.0),
+        "reg_lambda": ("log", 1e-8, 10.0),
     },
     "neural_network": {
         "n_layers": ("int", 1, 4),

@@ -19,6 +19,7 @@ from lodgewise.operators.encode import FEATURES, Preprocessor, feature_names
 from lodgewise.operators.runs import RunLog
 from lodgewise.operators.split import kfold, named, stratified_split, with_weights
 from lodgewise.plans import forest, models
+from lodgewise.plans.boosting import BoostedClassifier
 from lodgewise.schema import CV_FOLDS, ROLES, SEED
 from lodgewise.session import stored
 from lodgewise.sources.tables import canonical, write_json
@@ -159,10 +160,10 @@ def data_id(vectors: DataFrame) -> str:
 
 
 def fit(name: str, params: dict, vectors: DataFrame, folder: str | None = None):
-    """A classifier fitted on weighed rows. With a ``folder``, a forest keeps its finished parts there and goes on from them."""
+    """A classifier fitted on weighed rows. With a ``folder``, forests and boosted trees keep what is finished there and go on from it."""
     rows = weighted(vectors, name, params)
     estimator = models.build(name, params, len(feature_names(vectors)))
-    if folder is not None and isinstance(estimator, forest.ForestClassifier):
+    if folder is not None and isinstance(estimator, (forest.ForestClassifier, BoostedClassifier)):
         estimator.restartable(folder, data_id(rows))
     return estimator.fit(rows)
 

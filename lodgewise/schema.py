@@ -107,10 +107,13 @@ class ModelDefaults:
     xgboost: dict = field(
         default_factory=lambda: {
             "colsample_bytree": 0.5498282415664553,
+            "gamma": 0.4074896737265574,
             "learning_rate": 0.006252749709729093,
             "max_depth": 12,
             "min_child_weight": 3,
             "n_estimators": 1322,
+            "reg_alpha": 5.73881583521897e-07,
+            "reg_lambda": 7.71555135891761e-05,
             "scale_pos_weight": 9.081074856792275,
             "subsample": 0.826968577436646,
         }
@@ -122,6 +125,9 @@ class ModelDefaults:
             "max_depth": 15,
             "min_child_samples": 5,
             "n_estimators": 1488,
+            "num_leaves": 282,
+            "reg_alpha": 0.06125495231451704,
+            "reg_lambda": 0.06433398114835744,
             "subsample": 0.8691899553557091,
         }
     )

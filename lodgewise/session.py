@@ -55,7 +55,28 @@ def stored(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFra
     filters on it skip the others.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, name)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _located(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _located(spark, path)
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that the caller has written; nothing happens if there is none."""
+    system, place = _located(spark, path)
+    system.delete(place, True)

@@ -32,7 +32,9 @@ def test_parameters_reach_the_estimators(spark):
         models.build("random_forest", {"max_depth": 99})
     forest = models.build("random_forest")
     assert forest.getMaxDepth() == 22 and forest.getNumTrees() == 563 and forest.getFeatureSubsetStrategy() == "0.8"
-    assert models.build("lightgbm").getMinInstancesPerNode() == 5
+    boosted = models.build("lightgbm").settings
+    assert boosted.min_child_samples == 5 and boosted.num_leaves == 282 and boosted.reg_alpha > 0
+    assert models.build("xgboost").settings.gamma > 0 and models.build("xgboost").settings.num_leaves == 0
     tuned = {"n_layers": 2, "n_units_l0": 7, "n_units_l1": 3}
     assert models.build("neural_network", tuned, 5).getLayers() == [5, 7, 3, 2]
 
