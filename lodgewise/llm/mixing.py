@@ -81,7 +81,7 @@ def allot(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5,
     the hash of their id, then size, then the text's hash: reruns agree, and repeated rows share what they get.
     Columns of these names, and any named like ``_place``, are replaced.
     """
-    own = ["size", "source_size", "target", "taken", "laid", "start", "end", "_place", "_hash"]
+    own = ["size", "source_size", "target", "taken", "laid", "start", "end", "_place", "_hash", "_s", "_b", "_before", "_inside"]
     rows = docs.drop(*own).withColumns(_measures())
     return _placed(rows, _measured(docs), cycle, share, most).drop("_hash")
 
@@ -100,23 +100,21 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def _placed(rows: DataFrame, measured: DataFrame, cycle: tuple[Ramp, ...], share: float, most: float) -> DataFrame:
     """The columns of `allot` for rows that have their measures; what is joined to them is stored, so that its size is known."""
-    bucket = F.substring("_place", 1, 3)
-    dealt = stored(targets(measured.select("source", "size"), cycle, share, most), "targets")  # one row per source
-    sums = measured.groupBy(F.col("source").alias("_s"), bucket.alias("_b")).agg(F.sum("size").alias("_sum"))
+    keys = {"_s": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")), "_b": F.substring("_place", 1, 3)}
+    dealt = targets(measured.select("source", "size"), cycle, share, most)  # one row per source
+    dealt = dealt.withColumn("_s", keys["_s"]).drop("source")
+    sums = measured.withColumns(keys).groupBy("_s", "_b").agg(F.sum("size").alias("_sum"))
     until = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(sums.select("_s", "_b", F.coalesce(F.sum("_sum").over(until), F.lit(0)).alias("_before")), "offsets")
-    rows = rows.withColumns({"_source": F.col("source"), "_bucket": bucket})
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_place", "size", "_hash")
-    laid = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = laid.join(offsets, (F.col("_b") == F.col("_bucket")) & F.col("_s").eqNullSafe(F.col("_source"))).withColumn(
-        "laid", F.col("_before") + F.col("_inside")
-    )
-    dealt = dealt.withColumnRenamed("source", "_t")
-    joined = joined.join(dealt, F.col("_t").eqNullSafe(F.col("_source")))
+    before = sums.select("_s", "_b", F.coalesce(F.sum("_sum").over(until), F.lit(0)).alias("_before"))
+    offsets = stored(before.join(dealt, "_s"), "offsets")
+    inside = Window.partitionBy("_s", "_b").orderBy("_place", "size", "_hash").rowsBetween(Window.unboundedPreceding, -1)
+    laid = rows.withColumns(keys).withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    # keys that are never null and the window's own: the rows stay where the window has them
+    joined = laid.join(offsets, ["_s", "_b"]).withColumn("laid", F.col("_before") + F.col("_inside"))
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.floor(F.col("target") - rounds * F.col("source_size"))
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("laid")))
-    return joined.withColumn("taken", taken.cast("long")).drop("_place", "_source", "_bucket", "_s", "_b", "_t", "_before", "_inside")
+    return joined.withColumn("taken", taken.cast("long")).drop("_place", "_s", "_b", "_before", "_inside")
 
 
 def position(demanded: Column) -> Column:
