@@ -19,7 +19,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgewise.llm.common import Words, slices, text_or_empty
+from lodgewise.llm.common import Words, mix, slices, text_or_empty
 from lodgewise.session import stored
 
 Span = tuple[int, int, int]  # kind, start, end
