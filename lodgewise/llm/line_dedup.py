@@ -25,12 +25,12 @@ def _lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n"))
 
 
-def _named(suffixes: DataFrame) -> DataFrame:
-    """The suffixes that share their key (``a``, ``b``) with another, and as ``name`` the first that has it."""
+def _named(suffixes: DataFrame, *more: str) -> DataFrame:
+    """The suffixes that share their key (``a``, ``b``) with another, and as ``name`` the first that has it; ``more`` columns stay."""
     place, keys = F.struct(*_PLACE), ["a", "b"]
     intervals = suffixes.groupBy(*keys).agg(F.min(place).alias("name"), F.max(place).alias("_last"))
     intervals = intervals.filter(F.col("name") != F.col("_last")).drop("_last")
-    return suffixes.join(intervals, keys).select(*_PLACE, "name")
+    return suffixes.join(intervals, keys).select(*_PLACE, "name", *more)
 
 
 def _paired(named: DataFrame, apart: int) -> DataFrame:
@@ -48,7 +48,9 @@ def _later_copies(named: DataFrame, n: int) -> DataFrame:
 
 def _long(lines: DataFrame, words: DataFrame, min_words: int) -> DataFrame:
     """Of the lines of runs, those whose run has ``min_words`` words or more."""
-    counted = lines.join(words, ["_doc", "_hash", "at"])
+    words = words.withColumnsRenamed({"_doc": "_d", "_hash": "_h", "at": "_a"})
+    same = lines["_doc"].eqNullSafe(words["_d"]) & (lines["_hash"] == words["_h"]) & (lines["at"] == words["_a"])
+    counted = lines.join(words, same)
     runs = counted.groupBy(*_PLACE).agg(F.sum("_words").alias("_words"), F.collect_list("at").alias("_at"))
     return runs.filter(F.col("_words") >= min_words).select("_doc", "_hash", F.explode("_at").alias("at"))
 
@@ -67,13 +69,16 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int |
         raise ValueError("a long run has one word at least")
     text = text_or_empty()
     split = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64(text).alias("_hash"), F.posexplode(_lines(text)).alias("_line", "_text"))
-    hashed = split.select(*_PLACE, F.xxhash64("_text").alias("a"), F.xxhash64("_text", F.lit(1)).alias("b"))
-    named = stored(_named(stored(hashed, "lines")), "names-1")
-    size = F.size(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
-    words = split.select("_doc", "_hash", F.col("_line").alias("at"), size.alias("_words")).distinct() if min_words else None
+    size = F.size(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))) if min_words else F.lit(0)
+    hashed = split.select(*_PLACE, F.xxhash64("_text").alias("a"), F.xxhash64("_text", F.lit(1)).alias("b"), size.alias("_words"))
+    named = stored(_named(stored(hashed, "lines"), "_words"), "names-1")
+    # a run that stands twice has only lines that do
+    words = named.select("_doc", "_hash", F.col("_line").alias("at"), "_words").distinct()
     known, shorter = 1, []
     while known < min_lines:
-        if min_words:
+        if min_words and known == 1:
+            shorter.append(_later_copies(named.filter(F.col("_words") >= min_words), 1).select("_doc", "_hash", "at"))
+        elif min_words:
             shorter.append(_long(_later_copies(named, known), words, min_words))
         apart = 1 if min_words else min(known, min_lines - known)  # every length below min_lines is looked at
         known += apart

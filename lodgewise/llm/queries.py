@@ -134,7 +134,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "op1_line_dedup",
-    """
+    r"""
     WITH lines AS (
       SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr
       FROM documents WHERE text <> ''),
@@ -143,7 +143,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
       SELECT doc_id, nr FROM (
         SELECT doc_id, nr, row_number() OVER (PARTITION BY line, below ORDER BY doc_id, nr) AS place FROM pairs WHERE below IS NOT NULL)
       WHERE place > 1),
-    gone AS (SELECT DISTINCT doc_id, nr + k AS nr FROM copies, range(2) AS ks(k)),
+    long_copies AS (
+      SELECT doc_id, nr FROM (
+        SELECT doc_id, nr, row_number() OVER (PARTITION BY line ORDER BY doc_id, nr) AS place FROM lines
+        WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50)
+      WHERE place > 1),
+    gone AS (SELECT doc_id, nr + k AS nr FROM copies, range(2) AS ks(k) UNION SELECT doc_id, nr FROM long_copies),
     kept AS (
       SELECT l.doc_id, count(*) AS n_lines, count(g.nr) AS n_removed,
         coalesce(string_agg(l.line, chr(10) ORDER BY l.nr) FILTER (WHERE g.nr IS NULL), '') AS text
@@ -154,8 +159,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    # the SQL knows runs of two lines only
-    kept = line_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"), min_words=None)
+    kept = line_dedup.dedup(table(spark, folder, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -86,6 +86,18 @@ def test_one_line_documents_are_deduped(spark):
     assert [got[i] for i in range(1, 6)] == [(passage, 0), ("unlike\nothers", 1), ("", 1), (short, 0), (short, 0)]
 
 
+def test_runs_of_documents_without_id_are_weighed(spark):
+    passage = [" ".join(prose(random.Random(k), 20)) for k in range(3)]
+    rows = [(None, "\n".join(passage)), (4, "\n".join(["unlike", *passage[:3]])), (5, "\n".join(passage[:2]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(docs, 4, 50).collect()}
+    assert got == {None: 0, 4: 3, 5: 0}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(docs.select(-F.col("doc_id").alias("doc_id"), "text"), 4, 40).collect()}
+    assert got == {None: 0, -5: 2, -4: 3}
+    twice = spark.createDataFrame([(1, passage[0]), (None, passage[0] * 3), (None, passage[0] * 3 + "\nx")], docs.schema)
+    assert sum(r["n_removed"] for r in line_dedup.dedup(twice).collect()) == 1
+
+
 # 2 decontamination
 
 
