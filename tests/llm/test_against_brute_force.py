@@ -92,7 +92,7 @@ def test_runs_of_documents_without_id_are_weighed(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(docs, 4, 50).collect()}
     assert got == {None: 0, 4: 3, 5: 0}
-    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(docs.select(-F.col("doc_id").alias("doc_id"), "text"), 4, 40).collect()}
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(docs.selectExpr("-doc_id AS doc_id", "text"), 4, 40).collect()}
     assert got == {None: 0, -5: 2, -4: 3}
     twice = spark.createDataFrame([(1, passage[0]), (None, passage[0] * 3), (None, passage[0] * 3 + "\nx")], docs.schema)
     assert sum(r["n_removed"] for r in line_dedup.dedup(twice).collect()) == 1
