@@ -118,15 +118,15 @@ SQL["standard_scale"] = sql(
     )
     + " FROM imputed"
 )
-HOT = ["branch", "country", "room", "platform"]
+HOT = ["branch", "country", "room", "platform", "booking_month", "arrival_month"]
 
 
 def slot(c: str) -> str:
     """Place among the sorted training categories, 0 if it is not one of them."""
     return (
-        f"CASE WHEN coalesce({c}, 'missing') IN (SELECT coalesce({c}, 'missing') FROM tagged WHERE split = 'train') THEN "
-        f"(SELECT count(DISTINCT coalesce(u.{c}, 'missing')) FROM tagged u WHERE u.split = 'train' "
-        f"AND coalesce(u.{c}, 'missing') <= coalesce(t.{c}, 'missing')) ELSE 0 END::BIGINT"
+        f"CASE WHEN coalesce({c}::VARCHAR, 'missing') IN (SELECT coalesce({c}::VARCHAR, 'missing') FROM tagged WHERE split = 'train') THEN "
+        f"(SELECT count(DISTINCT coalesce(u.{c}::VARCHAR, 'missing')) FROM tagged u WHERE u.split = 'train' "
+        f"AND coalesce(u.{c}::VARCHAR, 'missing') <= coalesce(t.{c}::VARCHAR, 'missing')) ELSE 0 END::BIGINT"
     )
 
 
@@ -248,7 +248,13 @@ abs(p - m) / p * 100 > 10 AS flagged FROM means""",
 
 ALL_COLUMNS = PLAIN.split(", ")
 SQL["column_summary"] = sql(
-    union([f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(DISTINCT {c}) AS \"distinct\" FROM bookings" for c in ALL_COLUMNS])
+    union(
+        [
+            f"SELECT '{c}' AS \"column\", CASE typeof(any_value({c})) WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS type, "
+            f"count({c}) AS non_null, count(DISTINCT {c}) AS \"distinct\" FROM bookings"
+            for c in ALL_COLUMNS
+        ]
+    )
 )
 SQL["missing_report"] = sql(
     "SELECT * FROM ("
@@ -260,10 +266,11 @@ SQL["missing_report"] = sql(
     )
     + ") WHERE missing > 0"
 )
+TWICE = "(SELECT * FROM bookings UNION ALL SELECT * FROM bookings WHERE branch = 'Changi')"
 SQL["duplicate_count"] = sql(
-    f"""SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (booking_id, price) FROM bookings))) AS duplicates,
-{r("(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (booking_id, price) FROM bookings))) / count(*)::DOUBLE * 100", 2)} AS duplicate_pct
-FROM bookings"""
+    f"""SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {TWICE}))) AS duplicates,
+{r(f"(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {TWICE}))) / count(*)::DOUBLE * 100", 2)} AS duplicate_pct
+FROM {TWICE}"""
 )
 SQL["null_target_count"] = sql("SELECT count(*) AS null_target FROM bookings WHERE no_show IS NULL")
 SQL["distinct_values"] = sql("SELECT DISTINCT arrival_month FROM noshow")
@@ -334,33 +341,33 @@ SQL["high_assoc_pairs"] = o.with_extra(
 
 
 def inflation(y: str, others: list[str]) -> str:
-    """Total over residual sum of squares, by removing the other columns from y one after another."""
-    inner = ", ".join(f"{z} - avg({z}) OVER () AS a{i}" for i, z in enumerate(others))
+    """Total over residual sum of squares, by removing the other columns from y one after another.
+
+    A column of which the ones before leave nothing is passed over; without a residual the inflation is infinite.
+    """
+    inner = ", ".join(f"({z} - avg({z}) OVER ()) / stddev_pop({z}) OVER () AS a{i}" for i, z in enumerate(others))
     text = f"SELECT {y} - avg({y}) OVER () AS y0, {y} - avg({y}) OVER () AS res, {inner} FROM imputed"
     for k in range(len(others)):
         left = ["res", *[f"a{m}" for m in range(k + 1, len(others))]]
-        steps = ", ".join(f"{c} - sum({c} * a{k}) OVER () / sum(a{k} * a{k}) OVER () * a{k} AS {c}" for c in left)
+        new = f"CASE WHEN sum(a{k} * a{k}) OVER () > 1e-9::DOUBLE * count(*) OVER () THEN 1 / sum(a{k} * a{k}) OVER () ELSE 0 END"
+        steps = ", ".join(f"{c} - sum({c} * a{k}) OVER () * {new} * a{k} AS {c}" for c in left)
         text = f"SELECT y0, {steps} FROM ({text})"
-    return f"SELECT '{y}' AS feature, sum(y0 * y0) / sum(res * res) AS vif FROM ({text})"
+    share = "sum(res * res) / sum(y0 * y0)"
+    return f"SELECT '{y}' AS feature, CASE WHEN {share} > 1e-9::DOUBLE THEN 1 / ({share}) ELSE 'Infinity'::DOUBLE END AS vif FROM ({text})"
 
 
-INDEPENDENT = [c for c in EDA_NUMERIC if c != "total_guests"]
-SQL["vif"] = o.with_extra(
-    "vifs AS (" + union([inflation(c, [z for z in INDEPENDENT if z != c]) for c in INDEPENDENT]) + ")",
-    f"SELECT feature, {r('vif', 5)} AS vif, vif > 10 AS flagged FROM vifs",
-)
-# three columns of which one is the sum of the others
-SQL["vif_collinear"] = sql(
-    """SELECT feature, true AS flagged FROM (VALUES ('num_adults'), ('num_children'), ('total_guests')) t(feature)
-WHERE (SELECT max(abs(total_guests - num_adults - num_children)) FROM imputed) = 0"""
-)
+# three columns of which one is the sum of the others are among these
+VIFS = "vifs AS (" + union([inflation(c, [z for z in EDA_NUMERIC if z != c]) for c in EDA_NUMERIC]) + ")"
+SQL["vif"] = o.with_extra(VIFS, f"SELECT feature, {r('vif', 5)} AS vif, vif > 10 AS flagged FROM vifs")
+SQL["vif_collinear"] = o.with_extra(VIFS, f"SELECT feature, {r('vif', 5)} AS vif, true AS flagged FROM vifs WHERE vif > 10")
 STARS = "CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END"
 SQL["feature_ranking"] = o.with_extra(
     f"""{BISERIAL},
 {CHI},
+{VIFS},
 ranked AS (SELECT feature, 'numerical' AS type, c, p FROM bis UNION ALL SELECT a, 'categorical', cramers_v, p FROM chip)""",
-    f"""SELECT feature, type, {r('c')} AS correlation, {r('p')} AS p_value, {r('abs(c)')} AS abs_correlation, {STARS} AS stars
-FROM ranked ORDER BY abs(c) DESC, feature LIMIT 5""",
+    f"""SELECT feature, type, {r('c')} AS correlation, {r('p')} AS p_value, {r('abs(c)')} AS abs_correlation, {STARS} AS stars, {r('vif', 5)} AS vif
+FROM ranked LEFT JOIN vifs USING (feature)""",
 )
 
 SQL["confusion_matrix"] = sql(
@@ -512,13 +519,13 @@ count(*) FILTER (score >= 0.1) / count(*)::DOUBLE > 0.3 AS critical_drift FROM a
 )
 SUMMARY = []
 for name, where in (("reference", "booking_month <= 6"), ("current", "booking_month > 6")):
-    for c in ("price", "arrival_day", "stay_length"):
+    for c in o.SUMMARY_NUMERIC:
         SUMMARY.append(
             f"""SELECT '{name}' AS frame, '{c}' AS "column", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS missing, count(DISTINCT {c}) AS "distinct",
 {r(f'avg({c})', 3)} AS mean, {r(f'stddev_samp({c})', 3)} AS std, {r(f'min({c})', 3)} AS "min", {r(f'max({c})', 3)} AS "max",
 {', '.join(f"{r(f'quantile_cont({c}::DOUBLE, {q})', 3)} AS q{int(q * 100)}" for q in (0.25, 0.5, 0.75))} FROM feat WHERE {where}"""
         )
-    for c in ("branch", "room"):
+    for c in EDA_CATEGORICAL:
         SUMMARY.append(
             f"""SELECT '{name}', '{c}', count(*), count(*) FILTER ({c} IS NULL), count(DISTINCT {c}),
 NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM feat WHERE {where}"""

@@ -20,6 +20,7 @@ EDA_CATEGORICAL = [
     "room",
     "platform",
 ]
+SUMMARY_NUMERIC = [*EDA_NUMERIC, "stay_length", "lead_time_months", "price_per_guest"]
 FEATURE_COLUMNS = [
     "price",
     "num_adults",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.ml.functions import vector_to_array
 
-from checks.oracle import DRIFT_CATEGORICAL, DRIFT_NUMERIC, EDA_CATEGORICAL, EDA_NUMERIC
+from checks.oracle import DRIFT_CATEGORICAL, DRIFT_NUMERIC, EDA_CATEGORICAL, EDA_NUMERIC, SUMMARY_NUMERIC
 from lodgewise.functions import clean, features
 from lodgewise.operators import aggregates, drift, encode, evaluate, impute, profile, runs, split, stats
 from lodgewise.plans import models, monitoring, scoring, training
@@ -332,8 +332,8 @@ def _(spark, folder):
 @query("one_hot")
 def _(spark, folder):
     df = split.stratified_split(known(spark, folder))
-    columns = ["branch", "country", "room", "platform"]
-    df = df.select("booking_id", "split", *columns)
+    columns = ["branch", "country", "room", "platform", "booking_month", "arrival_month"]
+    df = df.select("booking_id", "split", *[F.col(c).cast("string").alias(c) for c in columns])
     hot = encode.one_hot(df.where("split = 'train'"), df, columns)
     places = {c: F.array_position(vector_to_array(f"{c}__hot"), F.lit(1.0)) for c in columns}
     sums = {c: F.aggregate(vector_to_array(f"{c}__hot"), F.lit(0.0), lambda a, x: a + x) for c in columns}
@@ -470,7 +470,7 @@ def _(spark, folder):
 
 @query("column_summary")
 def _(spark, folder):
-    return profile.column_summary(raw(spark, folder)).select("column", "non_null", "distinct")
+    return profile.column_summary(raw(spark, folder))
 
 
 @query("missing_report")
@@ -480,7 +480,8 @@ def _(spark, folder):
 
 @query("duplicate_count")
 def _(spark, folder):
-    return profile.duplicate_count(raw(spark, folder).drop("booking_id", "price"))
+    rows = raw(spark, folder)
+    return profile.duplicate_count(rows.unionByName(rows.where("branch = 'Changi'")))
 
 
 @query("null_target_count")
@@ -560,18 +561,18 @@ def _(spark, folder):
 
 @query("vif")
 def _(spark, folder):
-    return rounded(stats.vif(imputed(spark, folder), [c for c in EDA_NUMERIC if c != "total_guests"]), 5)
+    return rounded(stats.vif(imputed(spark, folder), EDA_NUMERIC), 5)
 
 
 @query("vif_collinear")
 def _(spark, folder):
-    return stats.vif(imputed(spark, folder), EDA_NUMERIC).where("flagged").select("feature", "flagged")
+    return rounded(stats.vif(imputed(spark, folder), EDA_NUMERIC).where("flagged"), 5)
 
 
 @query("feature_ranking")
 def _(spark, folder):
-    ranked = stats.feature_ranking(imputed(spark, folder), EDA_NUMERIC, EDA_CATEGORICAL, top=5, with_vif=False)
-    return rounded(ranked)
+    ranked = stats.feature_ranking(imputed(spark, folder), EDA_NUMERIC, EDA_CATEGORICAL)
+    return rounded(ranked, vif=5)
 
 
 # evaluation
@@ -692,7 +693,7 @@ def _(spark, folder):
 def _(spark, folder):
     older, newer = halves(engineered(spark, folder))
     frames = {"reference": older, "current": newer}
-    return rounded(drift.data_summary(frames, ["price", "arrival_day", "stay_length"], ["branch", "room"]), 3)
+    return rounded(drift.data_summary(frames, SUMMARY_NUMERIC, EDA_CATEGORICAL), 3)
 
 
 # models: the published parameters, spaces, trials and folds
