@@ -92,9 +92,10 @@ def contingency(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 def chi_square_of(cells: DataFrame) -> DataFrame:
     """Test of independence per column pair: ``(a, b, n, chi2, dof, cramers_v)``.
 
-    The sum over all cells of (o - e)^2 / e equals n (sum of o^2 / (row * column) - 1), in which
-    empty cells drop out, so the table is never filled up. With one degree of freedom the
-    continuity correction applies: there |o - e| is the same in all four cells.
+    Cells that occur add (o - e)^2 / e. The empty ones of a row add their e, which is the row's share
+    of n less the columns that the row meets, a difference of whole numbers; so the table is never
+    filled up and nothing cancels. With one degree of freedom the continuity correction applies:
+    there |o - e| is the same in all four cells.
     """
     pair = ["a", "b"]
     by_row = cells.groupBy(*pair, "va").agg(F.sum("o").alias("row"))
@@ -103,18 +104,20 @@ def chi_square_of(cells: DataFrame) -> DataFrame:
     cols = by_col.groupBy(*pair).agg(F.count("*").alias("c"), F.sum(1 / F.col("col")).alias("inv_col"))
     margins = rows.join(cols, pair)
     o, row, col, n = F.col("o"), F.col("row"), F.col("col"), F.col("n")
+    expected = row * col / n
     sums = (
         cells.join(by_row, [*pair, "va"])
         .join(by_col, [*pair, "vb"])
         .join(margins, pair)
+        .groupBy(*pair, "n", "r", "c", "inv_row", "inv_col", "va", "row")
+        .agg(F.sum(F.pow(o - expected, 2) / expected).alias("full"), F.sum("col").alias("met"), F.max(F.abs(o - expected)).alias("gap"))
         .groupBy(*pair, "n", "r", "c", "inv_row", "inv_col")
-        .agg(F.sum(o * o / (row * col)).alias("share"), F.max(F.abs(o - row * col / n)).alias("gap"))
+        .agg(F.sum(F.col("full") + row / n * (n - F.col("met"))).alias("plain"), F.max("gap").alias("gap"))
     )
     dof = (F.col("r") - 1) * (F.col("c") - 1)
     corrected = F.pow(F.greatest(F.col("gap") - 0.5, F.lit(0.0)), 2) * n * F.col("inv_row") * F.col("inv_col")
-    plain = F.greatest(n * (F.col("share") - 1), F.lit(0.0))
     smaller = F.least("r", "c") - 1
-    chi2 = F.when(dof == 1, corrected).when(dof == 0, F.lit(0.0)).otherwise(plain)
+    chi2 = F.when(dof == 1, corrected).when(dof == 0, F.lit(0.0)).otherwise(F.col("plain"))
     return sums.withColumns({"dof": dof, "chi2": chi2}).select(
         *pair,
         n.cast("bigint").alias("n"),

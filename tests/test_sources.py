@@ -91,3 +91,9 @@ def test_nested_rows_flatten(spark):
     df = spark.sql("SELECT 'r' AS run_id, named_struct('a', 1, 'b', named_struct('c', 'x')) AS p, 2.5D AS q")
     assert {(r["key"], r["value"]) for r in runs.param_rows(df).collect()} == {("p.a", "1"), ("p.b.c", "x"), ("q", "2.5")}
     assert {(r["metric"], r["value"]) for r in runs.metric_rows(df, prefix="t_").collect()} == {("t_p.a", 1.0), ("t_q", 2.5)}
+
+
+def test_answers_tell_errors_of_every_stage(spark):
+    assert tables.answer(spark, "SELECT id FROM range(7);", 2) == {"rows": 7, "columns": 1, "names": ["id"], "head": [{"id": 0}, {"id": 1}]}
+    for query in ("SELEC 1", "SELECT nothing FROM nowhere", "SELECT raise_error('stop') FROM range(3)", "SELECT 1 div (id - id) FROM range(3)"):
+        assert list(tables.answer(spark, query)) == ["error"], query

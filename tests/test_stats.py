@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -117,3 +118,27 @@ def test_tails_at_large_degrees_of_freedom():
     for x in (0.999e6, 1e6, 1.001e6, 1.003e6):  # the exact forms go over into the normal ones
         exact, near = distributions.chi2_tail(x, 1e6), distributions.chi2_tail(x * (1 + 1e-9), 1e6 * (1 + 1e-9))
         assert abs(exact - near) < 1e-5
+
+
+def test_chi_square_of_many_rows_does_not_cancel(spark):
+    million = 10**12
+    cells = [("x", "y", r, c, float(million + (r == c))) for r in "pqr" for c in "stu"[:3]]
+    cells = [(a, b, r, c, o + (("p", "s") == (r, c))) for a, b, r, c, o in cells]
+    got = stats.chi_square_of(spark.createDataFrame(cells, "a string, b string, va string, vb string, o double")).first()
+    n = sum(o for *_, o in cells)
+    row = {r: sum(o for _, _, v, _, o in cells if v == r) for r in "pqr"}
+    col = {c: sum(o for _, _, _, v, o in cells if v == c) for c in "stu"}
+    want = sum(float((Fraction(o) - Fraction(row[r]) * Fraction(col[c]) / Fraction(n)) ** 2 / (Fraction(row[r]) * Fraction(col[c]) / Fraction(n))) for _, _, r, c, o in cells)
+    assert got["dof"] == 4 and got["chi2"] == pytest.approx(want, rel=1e-2)
+
+
+def test_chi_square_counts_empty_cells(spark):
+    rows = [("a", 1)] * 5 + [("b", 2)] * 7 + [("c", 3)] * 4 + [("a", 2)] * 2
+    got = stats.chi_square(spark.createDataFrame(rows, "f string, no_show int"), ["f"]).first()
+    n, seen = len(rows), {x: rows.count(x) for x in set(rows)}
+    want = 0.0
+    for f in "abc":
+        for t in (1, 2, 3):
+            e = sum(x == f for x, _ in rows) * sum(y == t for _, y in rows) / n
+            want += (seen.get((f, t), 0) - e) ** 2 / e
+    assert got["chi2"] == pytest.approx(want)
