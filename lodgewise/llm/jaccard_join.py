@@ -54,14 +54,18 @@ class Bands:
 
     @staticmethod
     def _spare(low: int, differ: int) -> int:
-        """As many blocks to spare as the least sets of a band leave empty, and one deviation more, so that few deal twice."""
-        spare = 1 + differ // 20
-        while True:
+        """As many blocks to spare as the least sets of a band leave empty, and one deviation more, so that few deal twice.
+
+        Where no number will do, as sets that small may differ in nearly all of their tokens, the least one is taken.
+        """
+        least = 1 + differ // 20
+        # with any number of blocks, at least ``blocks - low`` are empty
+        for spare in range(least, low + 1 if low > differ + 1 else least, 1 + differ // 200):
             blocks = differ + 1 + spare
             empty = blocks * (1 - 1 / blocks) ** low
             if spare >= int(empty + empty**0.5):
                 return spare
-            spare += 1
+        return least
 
     def of(self, size: np.ndarray) -> Iterator[np.ndarray]:
         """The bands that sets of these sizes belong to, one after the other; -1 where there is no further one."""

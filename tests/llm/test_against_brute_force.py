@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import signal
 from fractions import Fraction
 
 import numpy as np
@@ -304,6 +305,34 @@ def test_jaccard_join(spark, n, threshold):
     assert kept == set(want.values())
 
 
+@pytest.mark.parametrize("threshold", [Fraction(t, 100) for t in (30, 50, 60, 80, 85, 95, 100)])
+def test_linked_sets_of_few_tokens_share_a_key(threshold):
+    def stopped(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, stopped)
+    signal.alarm(30)  # the numbers of blocks were once sought without an end
+    try:
+        bands = jaccard_join.Bands(threshold, 5_000)
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert (bands.spare >= 1).all() and (bands.blocks == bands.differ + 1 + bands.spare).all()
+    rng = random.Random(threshold.numerator)
+    sets = []
+    for size in [*range(1, 41)] * 3:
+        base = [rng.getrandbits(63) for _ in range(size)]
+        sets += [base, base[1:] or base, [*base, rng.getrandbits(63)], [*base[:-1], rng.getrandbits(63)], base[: -1 - size // 6] or base]
+    tokens = [np.unique(np.array(x, np.uint64)) for x in sets]
+    which, key = jaccard_join.block_keys(np.concatenate(tokens), np.array([len(x) for x in tokens]), bands)
+    keys = [set(key[which == i].tolist()) for i in range(len(sets))]
+    for start in range(0, len(sets), 5):
+        for i, j in itertools.combinations(range(start, start + 5), 2):
+            a, b = set(sets[i]), set(sets[j])
+            if a != b and len(a & b) >= threshold * len(a | b):
+                assert keys[i] & keys[j]
+
+
 # 6 packing
 
 
