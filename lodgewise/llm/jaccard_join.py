@@ -265,9 +265,10 @@ def rooted(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     told = sets.filter(F.col("node").isNotNull())
     node = stored(told.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", *_SKETCH)]), "nodes")
     firsts = told.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    keys = stored(keyed(docs, n, threshold), "keys")
-    shared = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
-    members = stored(keys.join(shared.select("key"), "key").distinct(), "members")
+    within = Window.partitionBy("key")
+    shared = F.min("node").over(within) != F.max("node").over(within)
+    keys = keyed(docs, n, threshold).withColumn("shared", shared).filter("shared").select("key", "node")
+    members = stored(keys.distinct(), "members")
     # each shared block is led by the node that shares most blocks with most nodes: the original rather than a copy
     degree = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("node").agg(F.sum("n").alias("degree"))
     leads = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead"))
