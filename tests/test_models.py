@@ -205,6 +205,30 @@ def test_forest_of_parts_is_one_model(fitted, spark, tmp_path):
     assert again.trees == 11 and key(again) == key(model)
 
 
+def test_rows_keep_their_nodes_and_trees_stay_the_same(fitted, spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    from lodgewise.plans import forest
+
+    _, train, _, _ = fitted
+    rows = training.weighted(train, "random_forest").coalesce(1)
+    estimator = models.build("random_forest", {**models.defaults("random_forest"), "n_estimators": 3})
+    real, kept = RandomForestClassifier._fit, []
+
+    def fit(self, data):
+        kept.append(self.getCacheNodeIds())
+        return real(self, data)
+
+    monkeypatch.setattr(RandomForestClassifier, "_fit", fit)
+    grown = estimator.fit(rows).parts[0]
+    assert kept == [True] and spark.sparkContext.getCheckpointDir()
+    plain = RandomForestClassifier()
+    estimator._copyValues(plain)
+    walked = plain.setMaxMemoryInMB(forest.NODE_MEMORY_MB).setCacheNodeIds(False).fit(rows)
+    text = lambda m: [t.toDebugString.split("\n", 1)[1] for t in m.trees]
+    assert kept == [True, False] and text(grown) == text(walked)
+
+
 def test_stopped_forest_goes_on_from_its_parts(fitted, spark, tmp_path, monkeypatch):
     from lodgewise.plans.forest import ForestClassifier
 
