@@ -229,6 +229,26 @@ def test_rows_keep_their_nodes_and_trees_stay_the_same(fitted, spark, monkeypatc
     assert kept == [True, False] and text(grown) == text(walked)
 
 
+def test_forest_tasks_have_many_rows_but_a_bound(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    from lodgewise.plans import forest
+
+    class Seen(Exception):
+        pass
+
+    def part(self, rows, part, trees):
+        raise Seen(rows.count(), rows.rdd.getNumPartitions())
+
+    monkeypatch.setattr(forest.ForestClassifier, "_part", part)
+    point = spark.createDataFrame([(Vectors.dense([1.0]), 1.0)], ["features", "weight"])
+    for n, tasks in ((120_000, 1), (450_000, 3)):  # node histograms are shuffled once a task
+        rows = spark.range(0, n, 1, 10).select((F.col("id") % 2).cast("int").alias("no_show")).crossJoin(F.broadcast(point))
+        with pytest.raises(Seen) as seen:
+            models.build("random_forest", {"n_estimators": 1}).fit(rows)
+        assert seen.value.args == (n, tasks)
+
+
 def test_stopped_forest_goes_on_from_its_parts(fitted, spark, tmp_path, monkeypatch):
     from lodgewise.plans.forest import ForestClassifier
 
