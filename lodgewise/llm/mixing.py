@@ -71,7 +71,9 @@ def targets(sized: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.
     )
 
 
-def allot(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def allot(
+    docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5, most: float = 2.0, measured: DataFrame | None = None
+) -> DataFrame:
     """Adds ``size``, ``source_size``, ``target``, ``taken``, ``laid``, ``start`` and ``end``; drops none.
 
     ``size`` counts the words of the text (null or empty: 0), ``laid`` the words of the source laid out before the
@@ -79,11 +81,11 @@ def allot(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5,
     ``taken`` is what it takes of the document, repeats counted, so a source's taken words are its target rounded
     down, and the last document may be taken in part. Null sources are one source. Documents lie in the order of
     the hash of their id, then size, then the text's hash: reruns agree, and repeated rows share what they get.
-    Columns of these names, and any named like ``_place``, are replaced.
+    Columns of these names, and any named like ``_place``, are replaced. ``measured`` is what `_measured` has stored.
     """
     own = ["size", "source_size", "target", "taken", "laid", "start", "end", "_place", "_hash", "_s", "_b", "_before", "_inside"]
     rows = docs.drop(*own).withColumns(_measures())
-    return _placed(rows, _measured(docs), cycle, share, most).drop("_hash")
+    return _placed(rows, _measured(docs) if measured is None else measured, cycle, share, most).drop("_hash")
 
 
 def _measures() -> dict[str, Column]:
@@ -128,13 +130,11 @@ def first_position() -> Column:
     return F.when(F.col("taken") > 0, position(F.col("laid").cast("double")))
 
 
-def copies(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def copies(
+    docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5, most: float = 2.0, measured: DataFrame | None = None
+) -> DataFrame:
     """The rows of `mix` with the columns of `allot`, ``_copy``, ``_words`` (that the copy has) and ``_at`` (its position)."""
-    return _copies(allot(docs, cycle, share, most))
-
-
-def _copies(told: DataFrame) -> DataFrame:
-    words = F.col("_words")
+    told, words = allot(docs, cycle, share, most, measured), F.col("_words")
     copies = F.greatest(F.lit(1), F.ceil(F.col("taken") / F.greatest(F.lit(1), F.col("size")))).cast("int")
     told = told.filter((F.col("taken") > 0) | (F.col("size") == 0))
     told = told.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
@@ -150,8 +150,8 @@ def tally(docs: DataFrame, cycle: tuple[Ramp, ...] = CYCLE, share: float = 1.5,
     """``doc_id``, ``source`` and the columns of `allot`, but ``taken`` counts the words of the sorted copies: of each row of ``docs``, 0 without copies."""
     key = ["doc_id", "source", "size", "laid"]
     measured = _measured(docs)
-    rows = docs.select("doc_id", "source", "text").withColumns(_measures())
-    mixed = _copies(_placed(rows, measured, cycle, share, most)).select(*[F.col(c).alias(f"_{c}") for c in key], "text")
+    texts = docs.select("doc_id", "source", "text")
+    mixed = copies(texts, cycle, share, most, measured).select(*[F.col(c).alias(f"_{c}") for c in key], "text")
     columns = [f"_{c}" for c in key]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
