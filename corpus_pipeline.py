@@ -17,6 +17,19 @@ from lodgewise.session import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Bytes of a batch of rows on its way to Python: each task holds some of them, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """The stage in a session that hands rows to Python in batches of bounded size, as texts may be long."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5; the classifier learns from the documents of this stage."""
@@ -44,11 +57,11 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", without_toxic),
-    ("near-duplicates", without_near_copies),
-    ("decontamination", without_benchmark),
-    ("mixing", mixed),
-    ("packing", packed),
+    ("toxicity", in_small_batches(without_toxic)),
+    ("near-duplicates", in_small_batches(without_near_copies)),
+    ("decontamination", in_small_batches(without_benchmark)),
+    ("mixing", in_small_batches(mixed)),
+    ("packing", in_small_batches(packed)),
 ]
 
 #: SQL has neither the learnt classifier nor the tokenizer; tests hold the stages against brute-force versions.

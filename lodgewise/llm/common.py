@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Numpy passes hold about 60 bytes for each byte of text, so this bounds a task's memory.
 SLICE_BYTES = 2 << 20
+#: For passes with more than one array of numbers for each word.
+SMALL_SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -54,7 +56,8 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, kept between batches."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 1)
+        step = SMALL_SLICE_BYTES
+        size = max(1, -(-(n - 1) // step)) * step + 1  # whole small slices, so that few lengths make them anew
         _powers[:] = [
             np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))])
             for b in (_BASE, pow(_BASE, -1, 1 << 64))
@@ -95,8 +98,11 @@ class Words:
         """A 64-bit hash of the bytes between the places, the same wherever they stand."""
         power, inverse = _power_tables(len(self.data) + 1)
         if not hasattr(self, "_sums"):
-            terms = _BYTE_CODE[self.data] * power[: len(self.data)]
-            self._sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+            self._sums = np.zeros(len(self.data) + 1, np.uint64)
+            terms = self._sums[1:]  # in place: eight bytes for each byte of text, once
+            np.take(_BYTE_CODE, self.data, out=terms, mode="clip")
+            terms *= power[: len(self.data)]
+            np.cumsum(terms, out=terms)
         return mix((self._sums[end] - self._sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
     def hashes(self) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodgewise.llm.common import WORD, Words, as_long, mix, slices, text_or_empty, unused
+from lodgewise.llm.common import SMALL_SLICE_BYTES, WORD, Words, as_long, mix, slices, text_or_empty, unused
 from lodgewise.llm.components import components
 from lodgewise.session import stored
 
@@ -174,7 +174,7 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``node`` and the words of the bit sketch for each row; ``node`` is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_SLICE_BYTES):
             tokens, sizes = token_sets(Words(batch.column(1), lower=True), n)
             sketch = bit_sketches(tokens, sizes)
             node = pa.array(nodes(tokens, sizes).view(np.int64), pa.int64(), mask=sizes == 0)
@@ -191,7 +191,7 @@ def keyed(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         bands = Bands(threshold, 1 << 10)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_SLICE_BYTES):
             tokens, sizes = token_sets(Words(batch.column(1), lower=True), n)
             node = nodes(tokens, sizes)
             fresh = np.zeros(len(sizes), bool)
@@ -233,7 +233,7 @@ def linked(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, n: int, thresho
     texts = texts.join(rows, texts["doc_id"].eqNullSafe(rows["first"])).select("want", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_SLICE_BYTES):
             tokens, sizes = token_sets(Words(batch.column(1), lower=True), n)
             node, want = nodes(tokens, sizes).view(np.int64), np.asarray(batch.column(0))
             ends = np.cumsum(sizes)
@@ -321,7 +321,7 @@ def representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(
     kept = placed.groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.doc_id").alias(least), F.col("kept.node").alias(number))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_SLICE_BYTES):
             tokens, sizes = token_sets(Words(batch.column(batch.schema.get_field_index("text")), lower=True), n)
             node = pa.array(nodes(tokens, sizes).view(np.int64), pa.int64(), mask=sizes == 0)
             yield pa.record_batch([*batch.columns, node], names=[*batch.schema.names, known])

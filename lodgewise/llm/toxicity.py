@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgewise.llm.common import Words, as_long, slices
+from lodgewise.llm.common import SMALL_SLICE_BYTES, Words, as_long, slices
 from lodgewise.session import stored
 
 #: Hashed features, and lengths in bytes of the word beginnings among them.
 BUCKETS = 1 << 20
 BEGINNINGS = (4, 5, 6, 7)
+#: Rows of a batch of counts.
+_COUNT_ROWS = 1 << 16
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -62,32 +64,39 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Text number and bucket of each word and word beginning, repeats included; words are runs of letters."""
     words = Words(texts, lower=True, inside=_LETTER)
     size = words.end - words.start
-    buckets, owner = [words.hashes()], [words.text]
+    text = words.text.astype(np.int32)
+    buckets, owner = [(words.hashes() >> np.uint64(44)).astype(np.int32)], [text]
     for n in BEGINNINGS:
         longer = size > n
         begin = words.start[longer]
-        buckets.append(words.span_hash(begin, begin + n) + np.uint64(1))
-        owner.append(words.text[longer])
-    return np.concatenate(owner), (np.concatenate(buckets) >> np.uint64(44)).astype(np.int64)
+        buckets.append(((words.span_hash(begin, begin + n) + np.uint64(1)) >> np.uint64(44)).astype(np.int32))
+        owner.append(text[longer])
+    return np.concatenate(owner), np.concatenate(buckets)
 
 
 def _distinct(owner: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.unique(owner * BUCKETS + bucket)
-    return pairs // BUCKETS, pairs % BUCKETS
+    pairs = owner.astype(np.int64)
+    pairs *= BUCKETS
+    pairs += bucket
+    pairs.sort()
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+    return (pairs // BUCKETS).astype(np.int32), (pairs % BUCKETS).astype(np.int32)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts, and how many positives, contain each bucket: one row per bucket and task. Bucket -1 is in all."""
     counts, n = np.zeros((2, BUCKETS), np.int64), np.zeros((2, 1), np.int64)
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SMALL_SLICE_BYTES):
         owner, bucket = _distinct(*features(batch.column(1)))
         positive = np.asarray(batch.column(0)) == 1
         counts[0] += np.bincount(bucket, minlength=BUCKETS)
         counts[1] += np.bincount(bucket[positive[owner]], minlength=BUCKETS)
         n += [[len(positive)], [positive.sum()]]
-    some = np.flatnonzero(counts[0])
-    buckets = np.concatenate([[-1], some])
-    yield pa.record_batch([as_long(buckets), *(as_long(np.append(n[k], counts[k][some])) for k in (0, 1))], names=["bucket", "u", "p"])
+    buckets = np.concatenate([[-1], np.flatnonzero(counts[0])])
+    for low in range(0, len(buckets), _COUNT_ROWS):
+        some = buckets[low : low + _COUNT_ROWS]
+        told = (np.where(some < 0, n[k], counts[k][some]) for k in (0, 1))
+        yield pa.record_batch([as_long(some), *(as_long(x) for x in told)], names=["bucket", "u", "p"])
 
 
 def _chosen(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
@@ -96,7 +105,7 @@ def _chosen(rows: DataFrame, buckets: np.ndarray) -> DataFrame:
     at[buckets] = np.arange(len(buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_SLICE_BYTES):
             owner, bucket = features(batch.column(1))
             known = at[bucket] >= 0
             owner, bucket = _distinct(owner[known], bucket[known])
@@ -201,7 +210,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = model.table() if model else None
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_SLICE_BYTES):
             scores = _scores(batch.column(1), model, weight)
             yield pa.record_batch([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
@@ -214,7 +223,7 @@ def keep(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = model.table() if model else None
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SMALL_SLICE_BYTES):
             clean = _scores(batch.column(batch.schema.get_field_index("text")), model, weight) < threshold
             yield batch.filter(pa.array(clean))
 

@@ -5,6 +5,8 @@ import itertools
 import random
 import re
 import signal
+import tracemalloc
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -427,6 +429,23 @@ def test_counts_take_equal_texts_once():
     assert told == {-1: (3, 1), man: (2, 1), vile: (1, 1)}
 
 
+def test_counts_hold_little_and_are_told_in_parts():
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(1_000)) for _ in range(600)]
+    batch = pa.record_batch([pa.array([i % 2 for i in range(600)]), pa.array(texts)], names=["positive", "text"])
+    tracemalloc.start()
+    got = list(toxicity._counted(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 << 20  # two counts of eight bytes for each bucket, and one slice's passes
+    assert max(b.num_rows for b in got) <= 1 << 16
+    rows = [r for b in got for r in b.to_pylist()]
+    held = [set(toxicity.features(pa.array([t]))[1].tolist()) for t in texts]
+    both = Counter(b for h in held for b in h), Counter(b for h in held[1::2] for b in h)
+    assert {r["bucket"]: (r["u"], r["p"]) for r in rows} == {-1: (600, 300)} | {b: (n, both[1][b]) for b, n in both[0].items()}
+    assert len(rows) == len(both[0]) + 1
+
+
 # 9 mixing
 
 

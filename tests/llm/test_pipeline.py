@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +54,23 @@ def test_stages(spark):
     assert twice.count() == docs.count()
     model = toxicity.fit(table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels"))
     assert toxicity.keep(docs, model).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", ["mixing", "packing"])
+def test_stages_hand_over_small_batches(spark, name):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = spark.createDataFrame([(1, "a b c", "en", "web", 5)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        assert dict(corpus_pipeline.STAGES)[name](spark, docs, FOLDER).count() >= 1
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.record_batch([pa.array([batch.nbytes]), pa.array([batch.num_rows])], names=["size", "n"])
+
+        long = spark.range(0, 3_000, 1, 1).select(F.repeat(F.lit("word "), 2_000).alias("text"))
+        got = long.mapInArrow(sizes, "size bigint, n bigint").collect()
+        assert sum(r["n"] for r in got) == 3_000
+        assert max(r["size"] for r in got) < 1.1 * corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)
