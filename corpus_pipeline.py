@@ -22,10 +22,14 @@ BATCH_BYTES = 8 << 20
 
 
 def in_small_batches(stage: Stage) -> Stage:
-    """The stage in a session that hands rows to Python in batches of bounded size, as texts may be long."""
+    """The stage in a session that hands rows to Python in batches of bounded size, as texts may be long.
+
+    What a query has shuffled goes when the query ends; else it stays on disk until the driver happens to collect garbage.
+    """
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         return stage(spark, docs, sf_dir)
 
     return run

@@ -4,6 +4,8 @@ A sketch has blocks; each token of a set is XORed, as a hash, into the one block
 at most as many blocks as they differ in tokens. Sets that reach the threshold differ in few tokens for their size, so
 with more blocks than that some block is equal: sets are joined on equal blocks, band by band of set sizes. A second
 sketch of single bits bounds the difference of each candidate pair from below, and the rest is verified token by token.
+Sets of more tokens than that sketch has bits are held to it by a longer one as well: a short one is as full for any two
+long sets, however they differ, and what it lets through grows with the square of their number.
 
 Equal sets are one node from the start. Within the sets that share a block, all are compared with one of them, the
 best connected; only sets that this leaves in different components are compared with one another.
@@ -22,7 +24,7 @@ from pyspark.sql import types as T
 
 from lodgewise.llm.common import SMALL_SLICE_BYTES, WORD, Words, as_long, mix, slices, text_or_empty, unused
 from lodgewise.llm.components import components
-from lodgewise.session import stored
+from lodgewise.session import fresh_folder, remove, stored
 
 #: 64-bit words of the bit sketch, and its columns.
 SKETCH = 8
@@ -122,6 +124,24 @@ def bit_sketches(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8).reshape(len(sizes), bits), axis=1).view(np.uint64)
 
 
+def long_sketches(tokens: np.ndarray, sizes: np.ndarray) -> list[bytes | None]:
+    """A sketch of at least one bit for each token, a power of two, for sets of more tokens than `bit_sketches` has bits."""
+    ends = np.cumsum(sizes)
+    out: list[bytes | None] = [None] * len(sizes)
+    for i in np.flatnonzero(sizes > 64 * SKETCH).tolist():
+        bits = 1 << (int(sizes[i]) - 1).bit_length()
+        flips = np.bincount((tokens[ends[i] - sizes[i] : ends[i]] % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+        out[i] = np.packbits(flips.astype(np.uint8)).tobytes()
+    return out
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits in which two long sketches differ, the longer one folded; the sets differ in as many tokens at least."""
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, n), axis=0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def block_keys(tokens: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(set, key) for the blocks of all sets; linked sets that differ have a key in common.
 
@@ -171,7 +191,7 @@ def _texts(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def sketched(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``node`` and the words of the bit sketch for each row; ``node`` is null for empty sets."""
+    """``doc_id``, ``n_shingles``, ``node`` and the bit sketches for each row; ``node`` is null for empty sets, ``long`` for small ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SMALL_SLICE_BYTES):
@@ -179,9 +199,10 @@ def sketched(docs: DataFrame, n: int) -> DataFrame:
             sketch = bit_sketches(tokens, sizes)
             node = pa.array(nodes(tokens, sizes).view(np.int64), pa.int64(), mask=sizes == 0)
             columns = [batch.column(0), as_long(sizes), node, *(as_long(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH))]
-            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "node", *_SKETCH])
+            columns.append(pa.array(long_sketches(tokens, sizes), pa.binary()))
+            yield pa.record_batch(columns, names=["doc_id", "n_shingles", "node", *_SKETCH, "long"])
 
-    schema = "doc_id bigint, n_shingles bigint, node bigint, " + ", ".join(f"{s} bigint" for s in _SKETCH)
+    schema = "doc_id bigint, n_shingles bigint, node bigint, " + ", ".join(f"{s} bigint" for s in _SKETCH) + ", long binary"
     return _texts(docs).mapInArrow(run, schema)
 
 
@@ -222,10 +243,31 @@ def _as(node: DataFrame, side: str) -> DataFrame:
     return node.select(F.col("node").alias(side), F.col("n_shingles").alias(f"{side}_n"), *[F.col(s).alias(f"{side}_{s}") for s in _SKETCH])
 
 
+def screened(pairs: DataFrame, long: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs ``u``, ``v`` that may reach the threshold by their long sketches, or have none; ``n`` is both sets' size.
+
+    ``long`` has ``node`` and ``long`` for the nodes of large sets.
+    """
+    both = pairs.join(long.toDF("u", "a"), "u", "left").join(long.toDF("v", "b"), "v", "left").select("u", "v", "n", "a", "b")
+    p, q = threshold.numerator, threshold.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            size, a, b = (batch.column(c) for c in (2, 3, 4))
+            for i in np.flatnonzero(np.asarray(a.is_valid()) & np.asarray(b.is_valid())).tolist():
+                bits = apart(*(np.frombuffer(x[i].as_buffer(), np.uint64) for x in (a, b)))
+                keep[i] = bits * (q + p) <= size[i].as_py() * (q - p)
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
+
+    return both.mapInArrow(run, "u bigint, v bigint")
+
+
 def linked(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """The pairs ``u``, ``v`` of nodes whose sets reach the threshold, by all their tokens.
+    """The pairs ``u``, ``v`` of nodes whose sets reach the threshold, by all their tokens, stored.
 
-    ``firsts`` has a row of ``docs`` by ``doc_id`` for each node. Only sets of nodes in pairs are moved.
+    ``firsts`` has a row of ``docs`` by ``doc_id`` for each node. Only sets of nodes in pairs are moved, and their
+    tokens don't stay on disk.
     """
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     rows = firsts.join(asked, "node").select(F.col("node").alias("want"), F.col("doc_id").alias("first"))
@@ -238,11 +280,13 @@ def linked(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, n: int, thresho
             node, want = nodes(tokens, sizes).view(np.int64), np.asarray(batch.column(0))
             ends = np.cumsum(sizes)
             same = np.flatnonzero(node == want)  # rows of one id may differ in text
-            held = [tokens[ends[i] - sizes[i] : ends[i]].tobytes() for i in same.tolist()]
-            yield pa.record_batch([pa.array(want[same], pa.int64()), pa.array(held, pa.binary())], names=["node", "tokens"])
+            found = [tokens[ends[i] - sizes[i] : ends[i]].tobytes() for i in same.tolist()]
+            yield pa.record_batch([pa.array(want[same], pa.int64()), pa.array(found, pa.binary())], names=["node", "tokens"])
 
     sets = texts.mapInArrow(run, "node bigint, tokens binary").dropDuplicates(["node"])
-    sets = stored(sets, "token-sets")
+    held = fresh_folder(docs.sparkSession, "token-sets")
+    sets.write.parquet(held)
+    sets = docs.sparkSession.read.schema(sets.schema).parquet(held)
     left = pairs.join(sets.withColumnsRenamed({"node": "u", "tokens": "a"}), "u")
     both = left.join(sets.withColumnsRenamed({"node": "v", "tokens": "b"}), "v").select("u", "v", "a", "b")
     p, q = threshold.numerator, threshold.denominator
@@ -256,7 +300,9 @@ def linked(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, n: int, thresho
                 keep[i] = q * common >= p * (len(a) + len(b) - common)
             yield pa.record_batch([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
-    return both.mapInArrow(verify, "u bigint, v bigint")
+    links = stored(both.mapInArrow(verify, "u bigint, v bigint"), "links")
+    remove(docs.sparkSession, held)
+    return links
 
 
 def rooted(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -264,6 +310,7 @@ def rooted(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     sets = stored(sketched(docs, n), "sets")
     told = sets.filter(F.col("node").isNotNull())
     node = stored(told.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n_shingles", *_SKETCH)]), "nodes")
+    long = stored(told.filter(F.col("long").isNotNull()).select("node", "long").dropDuplicates(["node"]), "long-sketches")
     firsts = told.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     within = Window.partitionBy("key")
     shared = F.min("node").over(within) != F.max("node").over(within)
@@ -274,9 +321,9 @@ def rooted(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     leads = members.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("lead"))
     leads = leads.select("key", F.col("lead.node").alias("u"))
     star = members.join(leads, "key").filter("node != u").select("u", F.col("node").alias("v")).distinct()
-    allowed = star.join(_as(node, "u"), "u").join(_as(node, "v"), "v").filter(_could_link(threshold)).select("u", "v")
-    pairs = stored(allowed, "pairs")
-    links = stored(linked(docs, pairs, firsts, n, threshold), "links")
+    allowed = star.join(_as(node, "u"), "u").join(_as(node, "v"), "v").filter(_could_link(threshold)).select("u", "v", (F.col("u_n") + F.col("v_n")).alias("n"))
+    pairs = stored(screened(allowed, long, threshold), "pairs")
+    links = linked(docs, pairs, firsts, n, threshold)
     roots = stored(components(links), "roots")
     # what shares a block and is in different components yet
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -284,9 +331,9 @@ def rooted(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     rest = placed.join(open_keys, "key").join(node, "node")
     sides = [rest.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("root", *_SKETCH)], F.col("node").alias(s), F.col("n_shingles").alias(f"{s}_n")) for s in "uv"]
     meet = (sides[0]["key"] == sides[1]["key"]) & (F.col("u_root") < F.col("v_root")) & _could_link(threshold)
-    across = sides[0].join(sides[1], meet).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    across = sides[0].join(sides[1], meet).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), (F.col("u_n") + F.col("v_n")).alias("n")).distinct()
     done = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = stored(across.join(done, ["u", "v"], "left_anti"), "pairs")
+    more = stored(screened(across.join(done, ["u", "v"], "left_anti"), long, threshold), "pairs")
     links = links.unionByName(linked(docs, more, firsts, n, threshold))
     roots = components(links)
     placed = sets.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
@@ -316,9 +363,13 @@ def representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(
     set number, then with the least hash of all columns.
     """
     placed = rooted(docs, n, threshold).filter(F.col("root").isNotNull())
-    known, number, least, place = (unused(name, docs.columns) for name in ("_node", "_kept", "_id", "_row"))
+    known, number, nameless, place = (unused(name, docs.columns) for name in ("_node", "_id", "_nameless", "_row"))
+    # plain keys, not a null-safe comparison: the window is dealt as the join is, and texts move once
+    keys = [known, number, nameless]
+    ids = {number: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), nameless: F.col("doc_id").cast("long").isNull()}
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")
-    kept = placed.groupBy("root").agg(F.min(order).alias("kept")).select(F.col("kept.doc_id").alias(least), F.col("kept.node").alias(number))
+    kept = placed.groupBy("root").agg(F.min(order).alias("kept")).select("kept.*")
+    kept = kept.withColumns(ids).withColumnRenamed("node", known).select(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SMALL_SLICE_BYTES):
@@ -326,9 +377,9 @@ def representatives(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(
             node = pa.array(nodes(tokens, sizes).view(np.int64), pa.int64(), mask=sizes == 0)
             yield pa.record_batch([*batch.columns, node], names=[*batch.schema.names, known])
 
-    numbered = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(known, T.LongType())]))
+    numbered = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(known, T.LongType())])).withColumns(ids)
     empty = docs.filter(~text_or_empty().rlike(WORD))
-    chosen = numbered.join(kept, (F.col(known) == F.col(number)) & F.col("doc_id").cast("long").eqNullSafe(F.col(least)))
-    first = Window.partitionBy(number, least).orderBy(F.xxhash64(*docs.columns))
+    chosen = numbered.join(kept, keys)
+    first = Window.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))
     chosen = chosen.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1)
     return chosen.select(*docs.columns).unionByName(empty)

@@ -8,6 +8,7 @@ import signal
 import tracemalloc
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken.load
+from pyspark.sql import functions as F
 
 from lodgewise.llm import decontaminate, fm_index, imatch, jaccard_join, line_dedup, mixing, packing, pii, substring_dedup, toxicity, url_filter
 
@@ -335,6 +337,58 @@ def test_linked_sets_of_few_tokens_share_a_key(threshold):
                 assert keys[i] & keys[j]
 
 
+def test_long_sketches_bound_the_difference():
+    rng = random.Random(11)
+    for size, more in ((600, 0), (1_000, 40), (1_020, 10), (3_000, 0), (5_000, 400)):
+        base = [rng.getrandbits(63) for _ in range(size + more)]
+        a, b = set(base), set(base[more:-7]) | {rng.getrandbits(63) for _ in range(5)}
+        far = {rng.getrandbits(63) for _ in range(size)}
+        tokens = [np.sort(np.array(list(x), np.uint64)) for x in (a, b, far)]
+        sizes = np.array([len(x) for x in tokens])
+        u, v, w = (np.frombuffer(x, np.uint64) for x in jaccard_join.long_sketches(np.concatenate(tokens), sizes))
+        assert len(u) * 64 >= len(a) and jaccard_join.apart(u, v) == jaccard_join.apart(v, u) <= len(a ^ b)
+        assert jaccard_join.apart(u, w) * 9 > len(a) + len(far)  # not at 0.8
+    assert jaccard_join.long_sketches(np.arange(512, dtype=np.uint64), np.array([512])) == [None]
+
+
+def test_long_texts_that_share_little_are_not_fetched(spark, monkeypatch):
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(400)]
+    texts = [" ".join([*common, *(f"t{t}x{rng.getrandbits(40)}" for _ in range(1_300 + 10 * t))]) for t in range(12)]
+    near = texts[0].split(" ")
+    near[700] = "edited"
+    texts.append(" ".join(near))
+    real, asked = jaccard_join.linked, []
+
+    def linked(docs, pairs, *more):
+        asked.extend(tuple(r) for r in pairs.select("u", "v").collect())
+        return real(docs, pairs, *more)
+
+    monkeypatch.setattr(jaccard_join, "linked", linked)
+    kept = {r["doc_id"] for r in jaccard_join.representatives(docs_of(spark, texts)).collect()}
+    assert kept == set(range(1, 13)) and len(asked) == 1  # pairs that only share a passage grow with the square of the texts
+
+
+def test_near_copies_leave_no_tokens_and_move_texts_once(spark):
+    from lodgewise.session import shared_folder
+
+    texts = [" ".join(prose(random.Random(i // 2), 300 + i % 2)) for i in range(20)]
+    docs = docs_of(spark, texts).unionByName(docs_of(spark, texts)).unionByName(docs_of(spark, texts[:1]).withColumn("doc_id", F.lit(None).cast("bigint")))
+    before, key = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "spark.sql.autoBroadcastJoinThreshold"
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    there = set(folder.glob("token-sets-*"))
+    spark.conf.set(key, "-1")
+    try:
+        kept = jaccard_join.representatives(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        # both sides of the join; the window takes the rows as they are
+        assert len(re.findall(r"Exchange hashpartitioning\(_node", plan)) == 2 and plan.count("Exchange hashpartitioning(_") == 2
+        assert sorted(r["doc_id"] for r in kept.collect()) == list(range(1, 21, 2))
+    finally:
+        spark.conf.set(key, before)
+    assert set(folder.glob("token-sets-*")) == there
+
+
 # 6 packing
 
 

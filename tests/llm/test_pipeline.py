@@ -74,3 +74,28 @@ def test_stages_hand_over_small_batches(spark, name):
         assert max(r["size"] for r in got) < 1.1 * corpus_pipeline.BATCH_BYTES
     finally:
         spark.conf.set(key, before)
+
+
+def test_shuffles_of_a_stage_go_with_its_queries(spark):
+    keys = ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = {k: spark.conf.get(k) for k in keys}
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        names = (disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size()))
+        return {n for n in names if n.startswith("shuffle_")}
+
+    there = []
+
+    def stage(spark, docs, sf_dir):
+        there.append(shuffled())
+        docs.groupBy("id").count().write.format("noop").mode("overwrite").save()
+        there.append(shuffled())
+        return docs
+
+    try:
+        corpus_pipeline.in_small_batches(stage)(spark, spark.range(0, 1_000, 1, 4).repartition(3), FOLDER)
+        assert there[1] <= there[0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
